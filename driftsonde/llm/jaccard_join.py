@@ -15,6 +15,7 @@ smallest. An empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from collections import Counter
 from collections.abc import Iterator
@@ -64,16 +65,18 @@ class Bands:
     def __init__(self, num: int, den: int):
         self.num, self.den, self.low = num, den, [1]
 
+    def _grow(self) -> None:
+        self.low.append(self.low[-1] * self.den // self.num + 1)
+
     def of(self, size: int) -> int:
         while self.low[-1] <= size:
-            self.low.append(self.low[-1] * self.den // self.num + 1)
-        return int(np.searchsorted(self.low, size, side="right")) - 1
+            self._grow()
+        return bisect.bisect_right(self.low, size) - 1
 
     def parts(self, band: int) -> int:
-        """One part more than twice needed: what differs touches at most all but two. 1 if only equal sets link."""
-        self.of(self.low[-1])
+        """Two parts more than linked sets can differ in, so that two are equal. 1 if only equal sets link."""
         while len(self.low) < band + 2:
-            self.of(self.low[-1])
+            self._grow()
         differ = (self.low[band + 1] - 1) * (self.den - self.num) // self.num
         return differ + 2 if differ else 1
 
