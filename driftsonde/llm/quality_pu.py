@@ -82,7 +82,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, decay: float =
     return float(np.clip(np.min(above(u) / np.maximum(above(p), 1e-9)), 0.05, 0.98))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 500, decay: float = 1e-4) -> np.ndarray:
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 500, decay: float = 0.02) -> np.ndarray:
     """Weights of least non-negative unbiased risk under the sigmoid loss; where the negative part's risk falls below 0, its gradient is turned."""
 
     def grad(w):
