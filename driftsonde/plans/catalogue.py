@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from driftsonde.plans import catalogue_eval  # noqa: F401  registers its own
+    from driftsonde.plans import catalogue_eval, catalogue_more  # noqa: F401  they register their own
 
     return dict(_QUERIES)
 
