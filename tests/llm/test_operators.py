@@ -249,8 +249,7 @@ def test_line_dedup_equals_brute_force(spark):
     texts = ["\n".join(pool[i : i + 4]) for i in range(0, len(pool), 4)] + ODD
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(frame(spark, texts), most=8).collect()}
     at = [(i, j, line_dedup.normalise(x)) for i, t in enumerate(texts) for j, x in enumerate((t or "").split("\n")) if len(line_dedup.normalise(x)) >= 16]
-    words, counts = line_dedup.byte_words([x.encode() for _, _, x in at], lower=False)
-    sims = line_dedup.simhashes(words, counts).tolist()
+    sims = line_dedup.simhashes([x.encode() for _, _, x in at], np.zeros(len(at), np.uint64)).tolist()
     links = [
         (a, b)
         for a in range(len(at))
