@@ -2,8 +2,9 @@
 
 A document's set holds the 64-bit hashes of its distinct word shingles; equal sets form a class. Classes of similar
 size are routed to blocks by signatures: a set is cut by hash range into more parts than linked sets can differ in, so
-some part of any two linked sets is equal. Classes that share a part's signature, directly or over others, make a
-block. In a block (or in tiles of it, if it is large) each set is a query against an inverted index: T, the overlap
+some part of any two linked sets is equal. Of classes that share a part's signature, those stay together whose parity
+sketches differ in no more bits than linked sets can have differing shingles: each such shingle turns one bit. Classes
+kept together, directly or over others, make a block. In a block (or in tiles of it, if it is large) each set is a query against an inverted index: T, the overlap
 the threshold needs, lets DivideSkip leave the longest lists out; the short ones are merged, and only the candidates
 that reach the rest of T there are probed for, by binary search, in the long ones.
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftsonde.llm.arrays import byte_words, durable, map_batches, mix64, text_chunks
-from driftsonde.llm.graphs import Forest, connected_components, map_groups, tiles
+from driftsonde.llm.graphs import Forest, connected_components, map_groups, spanning, tiles
 
 _A, _B, _C = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
@@ -102,8 +103,25 @@ def digest(hashes: np.ndarray) -> tuple[int, int]:
         return tuple(int(np.add.reduce(mix64(x)).view(np.int64)) if len(x) else 0 for x in (hashes ^ _B, hashes + _C))
 
 
+def parity_sketch(hashes: np.ndarray) -> bytes:
+    """How often each low end of a hash occurs, modulo 2: a power of two of bits, the set's size or more."""
+    bits = max(256, 1 << max(0, len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def near_sketches(sketches: list[bytes], sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs (upper triangle) may link: sketches folded to the shortest one's length differ in few enough bits."""
+    least = min(map(len, sketches))
+    words = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, least // 8), axis=0) for x in sketches])
+    differ = np.zeros((len(words), len(words)), np.int64)
+    for w in range(words.shape[1]):
+        differ += np.bitwise_count(words[:, w, None] ^ words[None, :, w])
+    return np.triu(differ * (den + num) <= (den - num) * (sizes[:, None] + sizes[None, :]), 1)
+
+
 def _class_rows(docs: DataFrame, n: int, num: int, den: int, id_column: str, text_column: str) -> DataFrame:
-    """Per row: key, n_shingles, two digests of the set, and the signatures of its parts."""
+    """Per row: key, n_shingles, two digests of the set, the signatures of its parts and its parity sketch."""
 
     def make():
         bands = Bands(num, den)
@@ -113,28 +131,30 @@ def _class_rows(docs: DataFrame, n: int, num: int, den: int, id_column: str, tex
             for part, texts in text_chunks(batch):
                 hashes, counts = shingle_sets(texts, n)
                 ends = np.cumsum(counts)
-                d1, d2, given = [], [], []
+                d1, d2, given, sketches = [], [], [], []
                 with np.errstate(over="ignore"):
                     for i, (size, end) in enumerate(zip(counts.tolist(), ends.tolist(), strict=True)):
                         own = slice(end - size, end)
                         for d, x in zip((d1, d2), digest(hashes[own]), strict=True):
                             d.append(x)
+                        sketches.append(None)
                         if not size or d1[-1] in once:
                             given.append(None)
                             continue
+                        sketches[-1] = parity_sketch(hashes[own])
                         if len(once) > 200_000:
                             once.clear()
                         once.add(d1[-1])
                         band = bands.of(size)
                         sigs = [part_signatures(hashes[own], b, k) for b in (band, band - 1) if b >= 0 and (k := bands.parts(b)) > 1]
                         given.append(np.concatenate(sigs).view(np.int64) if sigs else None)
-                yield {"key": batch.column("key")[part.start : part.stop], "n_shingles": counts, "d1": d1, "d2": d2, "signatures": pa.array(given, pa.list_(pa.int64()))}
+                yield {"key": batch.column("key")[part.start : part.stop], "n_shingles": counts, "d1": d1, "d2": d2, "signatures": pa.array(given, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.binary())}
 
         return work
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(docs[id_column].alias("key"), docs[text_column].cast("string").alias("text"))
-    return map_batches(rows, make, f"key {kind}, n_shingles bigint, d1 bigint, d2 bigint, signatures array<bigint>")
+    return map_batches(rows, make, f"key {kind}, n_shingles bigint, d1 bigint, d2 bigint, signatures array<bigint>, sketch binary")
 
 
 def divide_skip(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
@@ -197,8 +217,25 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
     rows = durable(_class_rows(docs, n, num, den, id_column, text_column), "sets")
     classes = rows.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("key").alias("first"))
     given = rows.select(F.explode("signatures").alias("s"), F.col("d1").alias("a"))
-    routed = given.withColumn("b", F.first("a").over(Window.partitionBy("s").orderBy("a"))).where("a <> b")  # a running frame: nothing of a group is held
-    routed = connected_components(routed.select("a", "b"))
+    ordered = Window.partitionBy("s").orderBy("a")  # frames of a row or up to it: nothing of a group is held
+    alike = given.withColumn("low", F.first("a").over(ordered)).withColumn("next", F.lead("a").over(ordered))
+    alike = alike.where("(next is null and low <> a) or next <> a").select("s", "a")  # once each, and not alone
+    sketches = rows.where("sketch is not null").groupBy("d1").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size")).withColumnRenamed("d1", "a")
+
+    def route(groups: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for g in (g for g in groups if len(g) > 1):
+            chunk, node = g.column("chunk").to_numpy(), g.column("a").to_numpy()
+            near = near_sketches(g.column("sketch").to_pylist(), g.column("size").to_numpy(), num, den)
+            if (chunk != chunk[0]).any():
+                near &= chunk[:, None] != chunk[None, :]
+            for x, y in spanning(*np.nonzero(near), len(node)):
+                a.append(node[x])
+                b.append(node[y])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    alike = tiles(durable(alike, "alike"), node="a", block="s", most=most).join(sketches, "a")
+    routed = connected_components(map_groups(alike, ["s", "tile_i", "tile_j"], route, "a bigint, b bigint"))
 
     def search(groups: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
