@@ -2,7 +2,6 @@
 
 import datetime
 import json
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,4 +139,3 @@ def test_streams(spark, tmp_path):
     counts = windowed_counts(stream.withColumnRenamed("action", "event_type")).writeStream.outputMode("complete").format("memory").queryName("counts").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
     counts.awaitTermination(120)
     assert sorted((r["event_type"], r["n"], r["total"]) for r in spark.table("counts").collect()) == [("submit", 2, 7.0), ("withdraw", 1, 0.0)]
-    time.sleep(0)
