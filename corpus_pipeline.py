@@ -31,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; those of which no line stays go, those blank before stay."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, hamming=None)
     out = out.where((F.col("n_dropped") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
     return _columns(out, docs)
 
