@@ -1,9 +1,9 @@
-"""Embedding near-duplicates by sorted projection passes.
+"""Embedding near-duplicates: every pair of one label, compared tile by tile.
 
-Each pass gives a vector the concatenated signs of its projections on random directions of the pass. Vectors are
-ordered by label and that key, every one is compared in full precision with a bounded window of its successors, and
-verified pairs of all passes are joined into groups. A window bounds what a pass finds, not what counts: within each
-group all pairs are then compared, tile by tile, so direct links are complete there.
+The vectors of a label are dealt over chunks, and each pair of chunks makes a tile of bounded size in which all pairs are
+compared in full precision. That is exact; work grows with the square of a label's number of distinct vectors, and what
+is shuffled with that square over the chunk's size. A tile sends on the number of links of each vector and as many links
+as connect the same, of which groups are made.
 
 Rows link only if their labels are equal and not null. Vectors that are null, empty, zero or hold null or non-finite
 components, and those of different dimensions, link with nothing; each row is its own component then. Equal vectors of
@@ -22,14 +22,26 @@ from pyspark.sql import functions as F
 
 from driftsonde.llm.ann_block import matrix, usable
 from driftsonde.llm.arrays import durable
-from driftsonde.llm.graphs import connected_components, map_groups, spanning, tiles
+from driftsonde.llm.graphs import connected_components, map_groups, tiles
 
-BITS = 63
+#: Rows compared at once within a tile; bounds a worker's memory.
+STRIP = 512
 
 
-def directions(dim: int, number: int) -> np.ndarray:
-    """Random directions of one pass."""
-    return np.random.default_rng([dim, number]).standard_normal((dim, BITS))
+def spanning_links(near: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of the links in a symmetric matrix, some that connect the same."""
+    a, b, unseen = [], [], np.ones(len(near), bool)
+    for root in np.flatnonzero(near.any(1)).tolist():
+        stack = [root] if unseen[root] else []
+        unseen[root] = False
+        while stack:
+            x = stack.pop()
+            new = np.flatnonzero(near[x] & unseen)
+            unseen[new] = False
+            a += [x] * len(new)
+            b += new.tolist()
+            stack += new.tolist()
+    return a, b
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -37,8 +49,11 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def embedding_groups(vectors: DataFrame, threshold: float = 0.93, passes: int = 16, window: int = 32, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label") -> DataFrame:
-    """One row per row of `vectors`: id, n_links, component_id, kept."""
+def embedding_groups(vectors: DataFrame, threshold: float = 0.93, passes: int = 16, window: int = 32, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label", most: int = 2048) -> DataFrame:
+    """One row per row of `vectors`: id, n_links, component_id, kept.
+
+    `passes` and `window` bounded an approximate search once; all pairs are compared now, and they change nothing.
+    """
     rows = vectors.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector_column).cast("array<double>").alias("vector"), F.col(label_column).cast("string").alias("label"))
     fit = F.col("label").isNotNull() & usable(F.col("vector"))
     rows = rows.withColumn("vector", F.when(fit, F.transform("vector", lambda x: x + F.lit(0.0))))  # -0.0 is 0.0
@@ -46,61 +61,38 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.93, passes: int =
     classes = rows.where(fit).groupBy("k1", "k2").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     classes = durable(classes.withColumn("dim", F.size("vector")), "classes")
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = batch.column("dim").to_numpy()
-            for dim in np.unique(dims).tolist():
-                own = batch.filter(pa.array(dims == dim))
-                at = _unit(matrix(own.column("vector")))
-                for number in range(passes):
-                    bits = at @ directions(dim, number) > 0
-                    keys = bits @ (np.int64(1) << np.arange(BITS, dtype=np.int64)[::-1])
-                    n = len(own)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number), pa.int32()), own.column("dim"), own.column("label"), pa.array(keys, pa.int64()), own.column("node"), own.column("vector")], names=["pass", "dim", "label", "key", "node", "vector"])
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
-            new = 0 if held is None else len(held)
-            dims = table.column("dim").to_numpy()
-            turn = np.flatnonzero(np.append(True, dims[1:] != dims[:-1]))
-            a, b = [], []
-            for begin, end in zip(turn.tolist(), [*turn.tolist()[1:], len(table)], strict=True):
-                own = table.slice(begin, end - begin)
-                at = _unit(matrix(own.column("vector")))
-                label = own.column("label").to_numpy()
-                same = np.cumsum(np.append(0, (own.column("pass").to_numpy()[1:] != own.column("pass").to_numpy()[:-1]) | (label[1:] != label[:-1])))
-                for s in range(1, min(window, len(own) - 1) + 1):
-                    hit = np.flatnonzero((same[s:] == same[:-s]) & (np.einsum("ij,ij->i", at[s:], at[:-s]) >= threshold))
-                    hit = hit[hit + begin + s >= new]
-                    a.append(hit + begin)
-                    b.append(hit + begin + s)
-            node = table.column("node").to_numpy()
-            kept = spanning(np.concatenate(a), np.concatenate(b), len(table)) if a else []
-            yield pa.RecordBatch.from_arrays([pa.array(node[[x for x, _ in kept]] if kept else [], pa.int64()), pa.array(node[[y for _, y in kept]] if kept else [], pa.int64())], names=["a", "b"])
-            held = table.slice(max(0, len(table) - window))
-
-    order = ["pass", "dim", "label", "key", "node"]
-    ordered = classes.mapInArrow(keyed, "pass int, dim int, label string, key bigint, node bigint, vector array<double>").repartitionByRange(*order).sortWithinPartitions(*order)
-    groups = connected_components(ordered.mapInArrow(windows, "a bigint, b bigint"))
-
     def links(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = [], []
         for g in batches:
-            at, copies, chunk = _unit(matrix(g.column("vector"))), g.column("copies").to_numpy(), g.column("chunk").to_numpy()
-            near = at @ at.T >= threshold
-            np.fill_diagonal(near, False)
-            if (chunk != chunk[0]).any():
-                near &= chunk[:, None] != chunk[None, :]
-            elif g.column("tile_i")[0] != g.column("tile_j")[0]:
-                near[:] = False
-            keys.append(g.column("k1").to_numpy())
-            counts.append(near @ copies)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(counts))], names=["k1", "others"])
-
-    members = classes.join(groups, "node").select("node", "k1", F.col("component").alias("block"), "copies", "vector")
-    counted = map_groups(durable(tiles(members), "tiles"), ["block", "tile_i", "tile_j"], links, "k1 bigint, others bigint").groupBy("k1").agg(F.sum("others").alias("others"))
+            chunk, key, node = g.column("chunk").to_numpy(), g.column("k1").to_numpy(), g.column("node").to_numpy()
+            crossed = bool((chunk != chunk[0]).any())
+            if not crossed and g.column("tile_i")[0] != g.column("tile_j")[0]:
+                continue
+            at, copies = _unit(matrix(g.column("vector"))), g.column("copies").to_numpy()
+            near, others = np.zeros((len(g), len(g)), bool), np.zeros(len(g), np.int64)
+            for begin in range(0, len(g), STRIP):
+                part = slice(begin, begin + STRIP)
+                hit = at[part] @ at.T >= threshold
+                hit[np.arange(len(hit)), begin + np.arange(len(hit))] = False
+                if crossed:
+                    hit &= chunk[part, None] != chunk[None, :]
+                near[part], others[part] = hit, hit @ copies
+            full = np.flatnonzero(others)
+            a, b = spanning_links(near | near.T)
+            n = len(full)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([pa.array(key[full]), pa.nulls(len(a), pa.int64())]),
+                    pa.concat_arrays([pa.array(others[full]), pa.nulls(len(a), pa.int64())]),
+                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(node[a] if a else [], pa.int64())]),
+                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(node[b] if b else [], pa.int64())]),
+                ],
+                names=["k1", "others", "a", "b"],
+            )
+
+    members = classes.select("node", "k1", F.concat_ws(":", F.col("dim").cast("string"), "label").alias("block"), "copies", "vector")
+    found = durable(map_groups(tiles(members, node="k1", most=most), ["block", "tile_i", "tile_j"], links, "k1 bigint, others bigint, a bigint, b bigint"), "found")
+    groups = connected_components(found.where("a is not null").select("a", "b"))
+    counted = found.where("k1 is not null").groupBy("k1").agg(F.sum("others").alias("others"))
     known = classes.select("k1", "k2", "node", "copies").join(groups, "node", "left").join(counted, "k1", "left")
     out = rows.select("id", "k1", "k2").join(known, ["k1", "k2"], "left")
     component = F.coalesce("component", "node", "id")

@@ -2,7 +2,9 @@
 
 import random
 
-from driftsonde.llm import line_dedup
+import numpy as np
+
+from driftsonde.llm import embed_dedup, line_dedup
 from driftsonde.llm.graphs import Forest
 
 DOCS = "doc_id bigint, text string"
@@ -37,7 +39,28 @@ def test_lines_link_by_edit_similarity_alone(spark):
             if longer - distance(a, lines[j]) >= 0.8 * longer:
                 links.append((i, j))
                 forest.union(i, j)
-    sims = line_dedup.simhashes([x.encode() for x in lines], line_dedup.np.zeros(len(lines), line_dedup.np.uint64)).tolist()
+    sims = line_dedup.simhashes([x.encode() for x in lines], np.zeros(len(lines), np.uint64)).tolist()
     assert sum((sims[i] ^ sims[j]).bit_count() > 3 for i, j in links) > 20
     got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), DOCS), hamming=None).collect()}
     assert got == {i: int(forest.find(i) != i) for i in range(len(lines))}
+
+
+def test_embeddings_link_whatever_lies_between(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(64)
+    at = 0.7 * centre / np.linalg.norm(centre) + 0.714 * rng.standard_normal((4000, 64)) / 8  # a hot label
+    at /= np.linalg.norm(at, axis=1, keepdims=True)
+    for i in range(200):
+        off = rng.standard_normal(64)
+        off -= off @ at[i] * at[i]
+        at[2000 + i] = 0.931 * at[i] + np.sqrt(1 - 0.931**2) * off / np.linalg.norm(off)
+    table = spark.createDataFrame([(i, v.tolist(), 1 + i // 3990) for i, v in enumerate(at)], "vec_id bigint, embedding array<double>, label int").repartition(7)
+    near = at @ at.T >= 0.93
+    near &= (np.arange(4000) // 3990)[:, None] == (np.arange(4000) // 3990)[None, :]
+    np.fill_diagonal(near, False)
+    forest = Forest(4000)
+    for a, b in zip(*np.nonzero(near), strict=True):
+        forest.union(int(a), int(b))
+    for most in (300, 2048):
+        got = {r["vec_id"]: r for r in embed_dedup.embedding_groups(table, passes=1, window=2, most=most).collect()}
+        assert [(got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) for i in range(4000)] == [(near[i].sum(), forest.find(i), forest.find(i) == i) for i in range(4000)]
