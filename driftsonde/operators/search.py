@@ -30,14 +30,19 @@ def top_k(scored: DataFrame, k: int, group: str = "query_id", score: str = "scor
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def dense_scores(queries: DataFrame, corpus: DataFrame, measure=dot, most_queries: int = 1024) -> DataFrame:
-    """(query_id, id, score) of a bounded set of queries (query_id, query) against all of the corpus (id, vector), own id left out.
+def dense_scores(queries: DataFrame, corpus: DataFrame, measure=dot, most_queries: int | None = None, block: int = 1024) -> DataFrame:
+    """(query_id, id, score) of all queries (query_id, query) against all of the corpus (id, vector), own id left out.
 
-    The queries go to every task as one array, checked to be at most `most_queries` rows.
+    The queries are dealt over blocks of about `block` rows, one array each; every block meets every corpus row. Callers
+    that want their query set bounded give `most_queries`; more raise.
     """
-    packed = queries.limit(most_queries + 1).agg(F.collect_list(F.struct("query_id", "query")).alias("qs"), F.count("*").alias("n"))
-    packed = packed.select(F.when(F.col("n") > most_queries, F.raise_error(F.lit(f"more than {most_queries} queries"))).otherwise(F.col("qs")).alias("qs"))
-    pairs = corpus.crossJoin(F.broadcast(packed)).select("id", "vector", F.explode("qs").alias("q")).where(F.col("q.query_id") != F.col("id"))
+    n = queries.agg(F.count("*").alias("n"))
+    if most_queries is not None:
+        n = n.select(F.when(F.col("n") > most_queries, F.raise_error(F.lit(f"more than {most_queries} queries"))).otherwise(F.col("n")).alias("n"))
+    n = n.select(F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block))).alias("n"))
+    dealt = queries.crossJoin(F.broadcast(n)).withColumn("block", F.pmod(F.xxhash64("query_id", "query"), F.col("n")))
+    packed = dealt.groupBy("block").agg(F.collect_list(F.struct("query_id", "query")).alias("qs")).select("qs")
+    pairs = corpus.crossJoin(packed).select("id", "vector", F.explode("qs").alias("q")).where(F.col("q.query_id") != F.col("id"))
     return pairs.select("q.query_id", "id", measure(F.col("q.query"), F.col("vector")).alias("score"))
 
 

@@ -6,6 +6,7 @@ import numpy as np
 
 from driftsonde.llm import embed_dedup, line_dedup
 from driftsonde.llm.graphs import Forest
+from driftsonde.operators import search
 
 DOCS = "doc_id bigint, text string"
 
@@ -64,3 +65,10 @@ def test_embeddings_link_whatever_lies_between(spark):
     for most in (300, 2048):
         got = {r["vec_id"]: r for r in embed_dedup.embedding_groups(table, passes=1, window=2, most=most).collect()}
         assert [(got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) for i in range(4000)] == [(near[i].sum(), forest.find(i), forest.find(i) == i) for i in range(4000)]
+
+
+def test_dense_scores_take_any_number_of_queries(spark):
+    table = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "id bigint, vector array<double>")
+    got = search.dense_scores(table.selectExpr("id as query_id", "vector as query"), table, block=7)
+    assert {(r["query_id"], r["id"]): r["score"] for r in got.collect()} == {(a, b): a * b + 1.0 for a in range(50) for b in range(50) if a != b}
+    assert got.count() == 50 * 49
