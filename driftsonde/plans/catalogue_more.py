@@ -93,7 +93,7 @@ def x_matched_field(spark, d):
 
 @query("""WITH w AS (SELECT vec_id AS id, sha256(array_to_string(embedding[1:4], ',')) AS h FROM embeddings) SELECT id, CASE WHEN id % 4 = 0 THEN 'missing' WHEN id % 6 = 0 THEN 'changed' ELSE 'reuse' END AS plan FROM w""")
 def m_embedding_plan(spark, d):
-    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.sha2(F.concat_ws(",", F.slice("embedding", 1, 4).cast("array<string>")), 256).alias("key"))
+    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.sha2(F.concat_ws(",", F.col("embedding").cast("array<string>")), 256).alias("key"))
     cached = e.where("id % 4 <> 0").withColumn("key", F.when(F.col("id") % 6 == 0, F.lit("old")).otherwise(F.col("key")))
     return linkage.reuse_plan(e, cached, "id", "key")
 

@@ -7,6 +7,7 @@ import numpy as np
 from driftsonde.llm import embed_dedup, line_dedup
 from driftsonde.llm.graphs import Forest
 from driftsonde.operators import search
+from driftsonde.plans import catalogue
 
 DOCS = "doc_id bigint, text string"
 
@@ -72,3 +73,15 @@ def test_dense_scores_take_any_number_of_queries(spark):
     got = search.dense_scores(table.selectExpr("id as query_id", "vector as query"), table, block=7)
     assert {(r["query_id"], r["id"]): r["score"] for r in got.collect()} == {(a, b): a * b + 1.0 for a in range(50) for b in range(50) if a != b}
     assert got.count() == 50 * 49
+
+
+def test_embedding_plan_hashes_the_whole_vector(spark, tmp_path, monkeypatch):
+    rows = [(1, [1.0, 2.0, 3.0, 4.0, 5.0]), (2, [1.0, 2.0, 3.0, 4.0, 6.0])]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    catalogue.queries()
+    from driftsonde.plans import catalogue_more
+
+    seen = []
+    monkeypatch.setattr(catalogue_more.linkage, "reuse_plan", lambda wanted, *rest: seen.append(wanted))
+    catalogue_more.m_embedding_plan(spark, str(tmp_path))
+    assert len({r["key"] for r in seen[0].collect()}) == 2
