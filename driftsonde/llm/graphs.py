@@ -60,8 +60,12 @@ def connected_components(links: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def map_groups(rows: DataFrame, keys: list[str], work: Callable[[list[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, within: list[str] | None = None) -> DataFrame:
-    """Give `work` whole groups, ordered by `within`, as many as an Arrow batch completes; partitions are ranges of the keys with even numbers of rows."""
+def map_groups(rows: DataFrame, keys: list[str], work: Callable[[list[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, within: list[str] | None = None, ranged: bool = True) -> DataFrame:
+    """Give `work` whole groups, ordered by `within`, as many as an Arrow batch completes.
+
+    Partitions are ranges of the keys with even numbers of rows, which takes a look at a sample of `rows` first, or, not
+    `ranged`, hashes of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -90,7 +94,8 @@ def map_groups(rows: DataFrame, keys: list[str], work: Callable[[list[pa.RecordB
             table = pa.Table.from_batches(held)
             yield from work(groups(table, split(table).tolist()))
 
-    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys, *(within or [])).mapInArrow(run, schema)
+    dealt = rows.repartitionByRange(*keys) if ranged else rows.repartition(*keys)
+    return dealt.sortWithinPartitions(*keys, *(within or [])).mapInArrow(run, schema)
 
 
 def tiles(members: DataFrame, node: str = "node", block: str = "block", most: int = 128) -> DataFrame:
