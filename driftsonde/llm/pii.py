@@ -23,13 +23,15 @@ from driftsonde.llm.arrays import map_batches, text_chunks
 
 KINDS = ("email", "ip", "card", "phone", "iban")
 BASE = 4
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: An email is a run of these, an @ and a domain.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+#: The same matches as `[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)`: none can start within a run of digits that none starts at.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_DIGITS = re.compile(r"[0-9+][0-9+\x20().-]*[0-9]")
-_NOT_EMAIL = re.compile(r"[^A-Za-z0-9._%+@-]")
+_DIGITS = re.compile(r"[0-9+][0-9+\x20().-]*+")
 _IBAN_HEAD = re.compile(r"[A-Z]{2}[0-9]{2}")
 #: Score before context, and how much a context word within `reach` characters adds.
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.7}
@@ -57,7 +59,7 @@ def _digits(text: str) -> str:
 
 
 def _is_ip(text: str) -> bool:
-    return all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in text.split("."))
+    return all(len(x) <= 3 and int(x or 0) <= 255 for x in (part.lstrip("0") for part in text.split(".")))
 
 
 def _is_card(text: str) -> bool:
@@ -75,28 +77,27 @@ def _is_iban(text: str) -> bool:
 
 
 def _email_spans(text: str) -> Iterator[tuple[int, int]]:
-    at = text.find("@")
+    """Leftmost emails that don't overlap. Every @ looks back no further than to the one before, so that it's one scan."""
+    low, at = 0, text.find("@")
     while at >= 0:
-        begin = at
-        while begin and not _NOT_EMAIL.match(text, begin - 1):
-            begin -= 1
-        end = m.start() if (m := _NOT_EMAIL.search(text, at)) else len(text)
-        for m in EMAIL.finditer(text, begin, end):
-            yield m.span()
-        at = text.find("@", end)
+        begin = low + len(text[low:at].rstrip(LOCAL))
+        low = at + 1
+        if begin < at and (m := DOMAIN.match(text, at + 1)):
+            yield begin, m.end()
+            low = m.end()
+        at = text.find("@", low)
 
 
 def find_spans(text: str, reach: int = 40, threshold: float = 0.7) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, score) of all kept spans, ordered by start, then kind."""
     found = [(a, b, "email") for a, b in _email_spans(text)] if "@" in text else []
     for run in _DIGITS.finditer(text):
-        a, b = run.span()
-        if b - a < 7:
+        a, own = run.start(), run[0].rstrip("+ ().-")
+        if len(own) < 7:
             continue
-        own = text[a:b]
         if own.count(".") >= 3:
             found += [(a + m.start(), a + m.end(), "ip") for m in IP.finditer(own) if _is_ip(m[0])]
-        if b - a >= 12:
+        if len(own) >= 12:
             found += [(a + m.start(), a + m.end(), "card") for m in CARD.finditer(own) if _is_card(m[0])]
         if "+" in own:
             found += [(a + m.start(), a + m.end(), "phone") for m in PHONE.finditer(own) if _is_phone(m[0])]
