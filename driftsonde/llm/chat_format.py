@@ -1,51 +1,64 @@
 """Chat formatting: schema fingerprints select declarative mappings to canonical turns, which one template renders.
 
-A layout's fingerprint is the SHA-256 of its sorted nested field paths; arrays add `[]` to a path. Typed tables are
-fingerprinted once from their schema, JSON records one by one from the fields they hold. A mapping names, for its
-fingerprint, where the turns are; optional fields have mappings of their own. Unknown fingerprints raise for tables,
-and give null turns for JSON records, with the fingerprint beside them.
+A layout's fingerprint is the SHA-256 of its sorted nested field paths; arrays add `[]` to a path, and `.`, `[` and `\\`
+within a field's name have a `\\` before them. Typed tables are fingerprinted once from their schema, JSON records one by
+one from the fields they hold; broken, too deeply nested and null records have no fingerprint. A mapping names, for its
+fingerprint, where the turns are; optional fields have mappings of their own. Layouts that hold further fields take the
+mapping of most fields that the rest would select. Layouts without a mapping raise for tables, and give null turns for
+JSON records, with the fingerprint beside them.
 
 The template marks a turn `<|im_start|>role\\ntext<|im_end|>\\n`. Inside roles and texts `\\` becomes `\\\\` and `<|`
 becomes `<\\|`, and in roles a line end becomes `\\n`, so control strings cannot occur there and `parse` gets back
 exactly what went in. Null roles and texts are empty strings. Turns are ordered by turn (null first), then role and
 text; repeated rows are repeated turns. A conversation is one row of the result, so it is formatted in one task. An
-empty table gives an empty result, extra columns are not read.
+empty table gives an empty result, fields and columns that no mapping names are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftsonde.llm.arrays import chunks, map_batches
+
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
 
 
-def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
+def _step(at: str | None, name: str) -> str:
+    """The path of a field below `at`; marks of paths within names are escaped."""
+    name = re.sub(r"([\\.\[])", r"\\\1", name)
+    return name if at is None else f"{at}.{name}"
+
+
+def schema_paths(kind: T.DataType, at: str | None = None) -> list[str]:
     """Nested field paths of a schema."""
     if isinstance(kind, T.StructType):
-        return [p for f in kind.fields for p in schema_paths(f.dataType, f"{at}.{f.name}" if at else f.name)]
+        return [p for f in kind.fields for p in schema_paths(f.dataType, _step(at, f.name))]
     if isinstance(kind, T.ArrayType):
-        return schema_paths(kind.elementType, at + "[]")
-    return [at]
+        return schema_paths(kind.elementType, f"{at or ''}[]")
+    return [at or ""]
 
 
-def value_paths(value: object, at: str = "") -> set[str]:
+def value_paths(value: object, at: str | None = None) -> set[str]:
     """Nested field paths of a JSON value; null fields count as there."""
     if isinstance(value, dict):
-        return {p for k, v in value.items() for p in value_paths(v, f"{at}.{k}" if at else k)}
+        return {p for k, v in value.items() for p in value_paths(v, _step(at, k))} or {f"{at or ''}.{{}}"}
     if isinstance(value, list):
-        return {p for v in value for p in value_paths(v, at + "[]")} or {at + "[]"}
-    return {at}
+        return {p for v in value for p in value_paths(v, f"{at or ''}[]")} or {f"{at or ''}[]"}
+    return {at or ""}
 
 
 def fingerprint(paths) -> str:
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
+    return hashlib.sha256("\n".join(sorted(paths)).encode("utf-8", "surrogatepass")).hexdigest()
 
 
 @dataclass(frozen=True)
@@ -79,8 +92,12 @@ MAPPINGS = (
 )
 
 
-def select_mapping(key: str, mappings=MAPPINGS) -> Mapping | None:
-    return next((m for m in mappings if m.key == key), None)
+def select_mapping(paths, mappings=MAPPINGS) -> Mapping | None:
+    """The mapping of these paths' fingerprint, else the one of most paths whose fingerprint the paths give without the others."""
+    paths, key = set(paths), fingerprint(paths)
+    exact = next((m for m in mappings if m.key == key), None)
+    within = sorted((m for m in mappings if fingerprint(paths & set(m.paths)) == m.key), key=lambda m: -len(m.paths))
+    return exact or next(iter(within), None)
 
 
 def _role(role: Column, mapping: Mapping) -> Column:
@@ -91,21 +108,20 @@ def _role(role: Column, mapping: Mapping) -> Column:
 
 
 def canonical_turns(rows: DataFrame, id_column: str = "conv_id", mappings=MAPPINGS, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(id, turns) of a typed table; its columns but for the id (where the layout has none) and `extra` make the fingerprint."""
+    """(id, turns) of a typed table. Columns that the mapping doesn't name are not read; `extra` names some that it shall not."""
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    layouts = [[f for f in rows.schema.fields if f.name not in {*extra, *drop}] for drop in ((), (id_column,))]
-    keys = [fingerprint(schema_paths(T.StructType(x))) for x in layouts]
-    mapping = next((m for k in keys if (m := select_mapping(k, mappings))), None)
+    paths = schema_paths(T.StructType([f for f in rows.schema.fields if f.name not in extra]))
+    mapping = select_mapping(paths, [m for m in mappings if not m.rows or id_column == m.rows[0]])
     if mapping is None:
-        raise ValueError(f"no mapping for the layout {schema_paths(rows.schema)} (fingerprint {keys[0]})")
+        raise ValueError(f"no mapping for the layout {paths} (fingerprint {fingerprint(paths)})")
     if mapping.rows:
         conv, turn, role, said = mapping.rows
-        one = F.struct(F.col(turn).alias("turn"), _role(F.col(role), mapping).alias("role"), text(F.col(said)).alias("text"))
+        one = F.struct(F.col(turn).alias("turn"), _role(F.col(role).cast("string"), mapping).alias("role"), text(F.col(said)).alias("text"))
         turns = F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
         return rows.groupBy(F.col(conv).alias(id_column)).agg(turns.alias("turns"))
     if mapping.messages:
         many, role, said = mapping.messages
-        turns = F.transform(F.coalesce(F.col(many), F.array()), lambda x: F.struct(_role(x[role], mapping).alias("role"), text(x[said]).alias("text")))
+        turns = F.transform(F.coalesce(F.col(many), F.array()), lambda x: F.struct(_role(x[role].cast("string"), mapping).alias("role"), text(x[said]).alias("text")))
     else:
         turns = F.array(*(F.struct(F.lit(role).alias("role"), F.concat_ws("\n\n", *(F.nullif(text(F.col(p)), F.lit("")) for p in paths)).alias("text")) for role, paths in mapping.fields))
     return rows.select(id_column, turns.alias("turns"))
@@ -113,27 +129,44 @@ def canonical_turns(rows: DataFrame, id_column: str = "conv_id", mappings=MAPPIN
 
 def canonical_json_turns(rows: DataFrame, json_column: str, id_column: str, mappings=MAPPINGS) -> DataFrame:
     """(id, fingerprint, turns) of JSON records of mixed layouts; turns are null for unknown layouts and broken or null records."""
-    known = {m.key: m for m in mappings if not m.rows}
+    known, chosen = [m for m in mappings if not m.rows], {}
 
-    def turns(record: str | None) -> dict:
+    def said(x: object) -> str:
+        plain = "" if x is None else x if isinstance(x, str) else json.dumps(x)
+        return plain.encode("utf-8", "replace").decode()  # halves of surrogate pairs are no characters
+
+    def turns(record: str | None) -> tuple[str | None, list | None]:
         try:
             value = json.loads(record or "")
-        except ValueError:
-            return {"fingerprint": None, "turns": None}
-        key = fingerprint(value_paths(value))
-        m, said = known.get(key), lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x)
+            paths = value_paths(value)
+        except (ValueError, RecursionError):
+            return None, None
+        key = fingerprint(paths)
+        if key not in chosen:
+            if len(chosen) > 10_000:
+                chosen.clear()
+            chosen[key] = select_mapping(paths, known)
+        m = chosen[key]
         if m is None:
-            return {"fingerprint": key, "turns": None}
+            return key, None
         names = dict(m.roles)
         if m.messages:
             many, role, text = m.messages
-            out = [{"role": names.get(x.get(role), said(x.get(role))), "text": said(x.get(text))} for x in value[many]]
-        else:
-            out = [{"role": role, "text": "\n\n".join(said(value[p]) for p in paths if said(value[p]))} for role, paths in m.fields]
-        return {"fingerprint": key, "turns": out}
+            return key, [{"role": names.get(r := said(x.get(role)), r), "text": said(x.get(text))} for x in value[many] if isinstance(x, dict)]
+        return key, [{"role": role, "text": "\n\n".join(y for p in paths if (y := said(value[p])))} for role, paths in m.fields]
+
+    def make():
+        def work(batch: pa.RecordBatch) -> Iterator[dict]:
+            records = batch.column("record").to_pylist()
+            for part in chunks([len(x or "") for x in records]):
+                keys, every = zip(*map(turns, records[part]), strict=True)
+                yield {"key": batch.column("key")[part.start : part.stop], "fingerprint": keys, "turns": every}
+
+        return work
 
-    read = F.udf(turns, f"struct<fingerprint:string,turns:{TURNS}>", useArrow=True)
-    return rows.select(id_column, read(F.col(json_column)).alias("got")).select(id_column, "got.fingerprint", "got.turns")
+    kind = rows.schema[id_column].dataType.simpleString()
+    read = rows.select(rows[id_column].alias("key"), rows[json_column].cast("string").alias("record"))
+    return map_batches(read, make, f"key {kind}, fingerprint string, turns {TURNS}").withColumnRenamed("key", id_column)
 
 
 def escape(text: Column) -> Column:
@@ -187,6 +220,6 @@ def masked(formatted: Column, spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
 
 
-def format_chats(rows: DataFrame, id_column: str = "conv_id", mappings=MAPPINGS) -> DataFrame:
-    """(id, turns, formatted, loss_spans) of a typed table of any mapped layout."""
-    return render(canonical_turns(rows, id_column, mappings))
+def format_chats(rows: DataFrame, id_column: str = "conv_id", mappings=MAPPINGS, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(id, turns, formatted, loss_spans) of a typed table of any mapped layout; columns that `extra` names are left out."""
+    return render(canonical_turns(rows, id_column, mappings, extra))
