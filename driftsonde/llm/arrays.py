@@ -112,9 +112,11 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares for cut lineage: spark.checkpoint.dir, or a temporary one of this machine where that is unset (tests)."""
+    """The folder that the cluster shares for cut lineage: spark.checkpoint.dir. A session of one machine may do without; its own is set then."""
     at = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         at = "file://" + tempfile.mkdtemp(prefix="driftsonde-")
