@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftsonde.llm.arrays import durable
+from driftsonde.llm.arrays import durable, release
 
 
 class Forest:
@@ -52,7 +52,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = durable(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "links")
+        last, now = now, durable(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "links")
+        release(last)
         new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if new == mark:
             break

@@ -248,9 +248,9 @@ def test_line_dedup_equals_brute_force(spark):
     pool = lines * 2 + near + many + ["short", "", "  ", lines[0].upper() + "  "]
     rnd.shuffle(pool)
     texts = ["\n".join(pool[i : i + 4]) for i in range(0, len(pool), 4)] + ODD
-    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(frame(spark, texts), most=8).collect()}
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
     at = [(i, j, line_dedup.normalise(x)) for i, t in enumerate(texts) for j, x in enumerate((t or "").split("\n")) if len(line_dedup.normalise(x)) >= 16]
-    sims = line_dedup.simhashes([x.encode() for _, _, x in at], np.zeros(len(at), np.uint64)).tolist()
+    sims = line_dedup.line_sketches([x.encode() for _, _, x in at], np.zeros(len(at), np.uint64), False)[0].tolist()
     links = [
         (a, b)
         for a in range(len(at))
@@ -334,6 +334,27 @@ def test_matrices_combine_associatively():
     assert piece_codec.compose(piece_codec.compose(a, b), c) == piece_codec.compose(a, piece_codec.compose(b, c))
 
 
+def test_a_tree_of_matrices_gives_the_states_of_a_walk():
+    rnd = random.Random(21)
+    for n in (1, 2, 3, 5, 8, 13):
+        path = [(rnd.randrange(4), i) for i in range(n + 1)]
+        made = []
+        for a, b in zip(path, path[1:], strict=False):
+            dead = {((9, a[1]), (rnd.randrange(4), b[1])), (a, (8, b[1]))}  # leads nowhere, or nothing leads there
+            made.append({(a, b)} | (dead if n > 1 and 0 < a[1] < n - 1 else set()))
+        assert piece_codec.states(made) == path
+
+
+def test_long_texts_of_the_tables_take_the_scan(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 16384")
+    assert docs.count() > 0
+    got = {r["doc_id"]: r for r in piece_codec.encode_docs(docs, tokenizer_path("piece_bpe_32k.model")).collect()}
+    codec = piece_codec.PieceCodec(tokenizer_path("piece_bpe_32k.model"))
+    for r in docs.collect():
+        ids = codec.model.encode(r["text"])
+        assert (got[r["doc_id"]]["n_ids"], got[r["doc_id"]]["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(5, 5)]
     got = dict(connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect())

@@ -6,8 +6,6 @@ import numpy as np
 
 from driftsonde.llm import embed_dedup, line_dedup
 from driftsonde.llm.graphs import Forest
-from driftsonde.operators import search
-from driftsonde.plans import catalogue
 
 DOCS = "doc_id bigint, text string"
 
@@ -41,7 +39,7 @@ def test_lines_link_by_edit_similarity_alone(spark):
             if longer - distance(a, lines[j]) >= 0.8 * longer:
                 links.append((i, j))
                 forest.union(i, j)
-    sims = line_dedup.simhashes([x.encode() for x in lines], np.zeros(len(lines), np.uint64)).tolist()
+    sims = line_dedup.line_sketches([x.encode() for x in lines], np.zeros(len(lines), np.uint64), False)[0].tolist()
     assert sum((sims[i] ^ sims[j]).bit_count() > 3 for i, j in links) > 20
     got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), DOCS), hamming=None).collect()}
     assert got == {i: int(forest.find(i) != i) for i in range(len(lines))}
@@ -66,22 +64,3 @@ def test_embeddings_link_whatever_lies_between(spark):
     for most in (300, 2048):
         got = {r["vec_id"]: r for r in embed_dedup.embedding_groups(table, passes=1, window=2, most=most).collect()}
         assert [(got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) for i in range(4000)] == [(near[i].sum(), forest.find(i), forest.find(i) == i) for i in range(4000)]
-
-
-def test_dense_scores_take_any_number_of_queries(spark):
-    table = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "id bigint, vector array<double>")
-    got = search.dense_scores(table.selectExpr("id as query_id", "vector as query"), table, block=7)
-    assert {(r["query_id"], r["id"]): r["score"] for r in got.collect()} == {(a, b): a * b + 1.0 for a in range(50) for b in range(50) if a != b}
-    assert got.count() == 50 * 49
-
-
-def test_embedding_plan_hashes_the_whole_vector(spark, tmp_path, monkeypatch):
-    rows = [(1, [1.0, 2.0, 3.0, 4.0, 5.0]), (2, [1.0, 2.0, 3.0, 4.0, 6.0])]
-    spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    catalogue.queries()
-    from driftsonde.plans import catalogue_more
-
-    seen = []
-    monkeypatch.setattr(catalogue_more.linkage, "reuse_plan", lambda wanted, *rest: seen.append(wanted))
-    catalogue_more.m_embedding_plan(spark, str(tmp_path))
-    assert len({r["key"] for r in seen[0].collect()}) == 2
