@@ -15,7 +15,7 @@ from driftsonde.llm import jaccard_join, line_dedup, packing, pii, quality_pu
 from driftsonde.llm.arrays import shared_dir, table
 from driftsonde.llm.queries import tokenizer_path
 
-#: No SQL for a learnt classifier, SimHash or the tokenizer.
+#: No SQL for a learnt classifier, edit similarity or the tokenizer.
 ORACLE_SQL = None
 
 
@@ -31,8 +31,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; those of which no line stays go, those blank before stay."""
-    out = line_dedup.dedup_lines(docs, hamming=None)
-    out = out.where((F.col("n_dropped") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    names = {c.lower() for c in docs.columns}
+    counts = tuple(next(c for c in (f"{n}{'_' * i}" for i in range(99)) if c not in names) for n in ("n_lines", "n_dropped"))
+    out = line_dedup.dedup_lines(docs, hamming=None, counts=counts)
+    out = out.where((F.col(counts[1]) == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
     return _columns(out, docs)
 
 
