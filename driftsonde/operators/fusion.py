@@ -27,6 +27,17 @@ def rrf(ranked: DataFrame, weights: dict[str, float], limit: int | None = None)
     return out.where(F.col("rank") <= limit) if limit else out
 
 
+def rrf_by_query(ranked: DataFrame, paths: list[str], limit: int | None = None) -> DataFrame:
+    """`rrf` with a weight for each query and path: (query_id, path, id, rank, weight). Weights of 0 or none take their candidates out."""
+    order = F.element_at(F.create_map(*(x for i, p in enumerate(paths) for x in (F.lit(p), F.lit(i)))), F.col("path"))
+    rows = ranked.where(F.col("path").isin(*paths) & (F.col("weight") > 0)).withColumn("_at", order)
+    parts = [F.coalesce(F.max(F.when(F.col("path") == p, F.col("weight") / (F.lit(RRF_K) + F.col("rank")))), F.lit(0.0)) for p in paths]
+    fused = rows.groupBy("query_id", "id").agg(reduce(lambda a, b: a + b, parts).alias("score"), F.min(F.struct("_at", "rank")).alias("_first"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "_first", "id")
+    out = fused.withColumn("rank", F.row_number().over(w)).drop("_first")
+    return out.where(F.col("rank") <= limit) if limit else out
+
+
 def contributions(ranked: DataFrame, weights: dict[str, float]) -> DataFrame:
     """The ledger behind `rrf`: one row for what each path adds to each id."""
     weight = F.element_at(F.create_map(*(x for p, w in weights.items() for x in (F.lit(p), F.lit(float(w))))), F.col("path"))
@@ -100,11 +111,12 @@ def protect(ranked: DataFrame, k: int) -> DataFrame:
 
 
 def supplement(base: DataFrame, extra: DataFrame, most: int, weight: float, k: int) -> DataFrame:
-    """Insert at most `most` new ids (query_id, id, extra_rank) at the score of the row that they displace, times weight, in their order."""
+    """Insert at most `most` new ids (query_id, id, extra_rank) at the score of the row that they displace (the last one of shorter lists), times weight, in their order."""
     new = extra.join(base, ["query_id", "id"], "left_anti")
     new = new.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("extra_rank", "id"))).where(F.col("_n") <= most)
     count = new.groupBy("query_id").agg(F.max("_n").alias("_m"))
-    anchor = base.join(count, "query_id").where(F.col("rank") == F.lit(k) - F.col("_m") + 1).select("query_id", F.col("score").alias("_anchor"))
+    size = base.groupBy("query_id").agg(F.max("rank").alias("_size"))
+    anchor = base.join(count, "query_id").join(size, "query_id").where(F.col("rank") == F.least(F.lit(k) - F.col("_m") + 1, F.col("_size"))).select("query_id", F.col("score").alias("_anchor"))
     rows = new.join(anchor, "query_id").select("query_id", "id", (F.col("_anchor") * weight - (F.col("_n") - 1) * 1e-6).alias("score"), F.lit(True).alias("is_new"))
     every = base.select("query_id", "id", "score", F.lit(False).alias("is_new")).unionByName(rows)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "is_new", "id")

@@ -44,21 +44,69 @@ def ranked_arrays(ranked: DataFrame, id_column: str = "id") -> DataFrame:
     return ranked.groupBy("query_id").agg(F.transform(rows, lambda x: x[id_column]).alias("ranked"))
 
 
-def latency_summary(spans: DataFrame, group: str, value: str) -> DataFrame:
-    """n, median, three 95th percentiles (floor index, nearest rank half-even, interpolated), max, min."""
-    w = Window.partitionBy(group)
-    rows = spans.select(group, value).withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(value)))
-    at = lambda r: F.max(F.when(F.col("_r") == r, F.col(value)))
-    floor = F.least(F.floor(F.col("_n") * 0.95), F.col("_n") - 1) + 1
-    near = F.bround((F.col("_n") - 1) * 0.95) + 1
-    return rows.groupBy(group).agg(
-        F.count("*").alias("n"),
-        F.round(F.percentile(value, 0.5), 1).alias("median"),
-        F.round(at(floor), 1).alias("p95_floor"),
-        F.round(at(near), 1).alias("p95_nearest"),
-        F.round(F.percentile(value, 0.95), 1).alias("p95_linear"),
-        F.round(F.max(value), 1).alias("max"),
-        F.round(F.min(value), 1).alias("min"),
+def from_ranks(found: DataFrame, totals: DataFrame, k: int) -> DataFrame:
+    """Each query's metrics from its judged ranks, without lists of all that is relevant.
+
+    found: (query_id, id, rank, positive, negative) of the ranked rows; totals: (query_id, n_positive, n_negative) of all
+    there are. Columns: recall, rr, ndcg, negative_rate (all within k), first_rank and negative_rank (of all ranked rows).
+    """
+    rank = F.col("rank")
+    within = lambda flag: F.col(flag) & (rank <= k)
+    by = found.groupBy("query_id").agg(
+        F.count_if(within("positive")).alias("_hits"),
+        F.min(F.when(F.col("positive"), rank)).alias("first_rank"),
+        F.sort_array(F.collect_list(F.when(within("positive"), rank))).alias("_at"),
+        F.count_if(within("negative")).alias("_bad"),
+        F.avg(F.when(F.col("negative"), rank.cast("double"))).alias("negative_rank"),
+    )
+    rows = totals.join(by, "query_id", "left")
+    gain = F.aggregate(F.coalesce("_at", F.array().cast("array<int>")), F.lit(0.0), lambda acc, r: acc + 1 / F.log2(r + 1.0))
+    most = F.least(F.col("n_positive"), F.lit(k)).cast("int")
+    ideal = F.aggregate(F.when(most > 0, F.sequence(F.lit(1), most)), F.lit(0.0), lambda acc, i: acc + 1 / F.log2(i + 1.0))
+    share = lambda n, total: F.when(F.col(total) > 0, F.coalesce(n, F.lit(0)) / F.col(total)).otherwise(0.0)
+    return rows.select(
+        "query_id",
+        share("_hits", "n_positive").alias("recall"),
+        F.when(F.col("first_rank") <= k, 1 / F.col("first_rank")).otherwise(0.0).alias("rr"),
+        F.coalesce(gain / ideal, F.lit(0.0)).alias("ndcg"),
+        "first_rank",
+        share("_bad", "n_negative").alias("negative_rate"),
+        "negative_rank",
+    )
+
+
+def latency_summary(spans: DataFrame, group: str, value: str, small: int = 10_000) -> DataFrame:
+    """n, median, three 95th percentiles (floor index, nearest rank half-even, interpolated), max, min; exact.
+
+    A sketch of bounded size bounds each quantile's value; values between the bounds (all, in groups of up to `small`) are
+    counted by value, and only these counts are put in order, so that a group that holds the table isn't sorted in one task.
+    """
+    rows = spans.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).where("_v is not null and _g is not null")
+    near = F.percentile_approx("_v", [0.498, 0.502, 0.948, 0.952], 100_000)
+    sizes = rows.groupBy("_g").agg(F.count("*").alias("n"), F.max("_v").alias("max"), F.min("_v").alias("min"), near.alias("_q"))
+    edge = lambda i, all_of: F.when(F.col("n") <= small, F.col(all_of)).otherwise(F.col("_q")[i])
+    bands = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), edge(2 * b, "min").alias("low"), edge(2 * b + 1, "max").alias("high")) for b in (0, 1)))).alias("b")
+    limits = sizes.select("_g", bands).select("_g", "b.*")
+    placed = rows.join(F.broadcast(limits), "_g")
+    below = placed.where("_v < low").groupBy("_g", "band").agg(F.count("*").alias("_below"))
+    counted = placed.where("_v >= low and _v <= high").groupBy("_g", "band", "_v").agg(F.count("*").alias("_m"))
+    upto = F.sum("_m").over(Window.partitionBy("_g", "band").orderBy("_v"))
+    counted = counted.withColumn("_end", upto).join(below, ["_g", "band"], "left").join(sizes.select("_g", "n"), "_g")
+    end = F.col("_end") + F.coalesce("_below", F.lit(0))
+    last = F.col("n") - 1
+    at = lambda band, r: F.max(F.when((F.col("band") == band) & (r < end) & (r >= end - F.col("_m")), F.col("_v")))
+    ranks = {"m0": (0, F.floor(last * 0.5)), "m1": (0, F.ceil(last * 0.5)), "f": (1, F.least(F.floor(F.col("n") * 0.95), last)), "r": (1, F.bround(last * 0.95)), "l0": (1, F.floor(last * 0.95)), "l1": (1, F.ceil(last * 0.95))}
+    found = counted.groupBy("_g").agg(*(at(b, r).alias(f"_{name}") for name, (b, r) in ranks.items()))
+    between = lambda low, high, p: F.col(low) + (F.col(high) - F.col(low)) * (last * p - F.floor(last * p))
+    return sizes.join(found, "_g").select(
+        F.col("_g").alias(group),
+        "n",
+        F.round(between("_m0", "_m1", 0.5), 1).alias("median"),
+        F.round("_f", 1).alias("p95_floor"),
+        F.round("_r", 1).alias("p95_nearest"),
+        F.round(between("_l0", "_l1", 0.95), 1).alias("p95_linear"),
+        F.round("max", 1).alias("max"),
+        F.round("min", 1).alias("min"),
     )
 
 

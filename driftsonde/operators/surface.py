@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from driftsonde.functions.unicode import surface_of
 
 
 def surface(text: Column) -> Column:
@@ -31,27 +39,110 @@ def fuzzy_score(phrase: Column, text: Column, least_cover: float = 0.55, least:
     return F.when((F.length(phrase) >= 5) & (cover >= least_cover), F.when(score >= least, score).otherwise(0.0)).otherwise(0.0)
 
 
-def phrase_matches(phrases: DataFrame, docs: DataFrame, most_phrases: int = 10_000) -> DataFrame:
+class Phrases:
+    """Phrases by their grams, for one pass over a text whatever their number."""
+
+    def __init__(self, rows: list[tuple[int, str, float]], n: int = 4):
+        self.rows, self.n = rows, n
+        self.by_start: dict[str, list[int]] = {}
+        self.by_gram: dict[str, list[int]] = {}
+        self.grams = [sorted({p[i : i + 3] for i in range(len(p) - 2)} or {p}) for _, p, _ in rows]
+        for i, (_, p, _) in enumerate(rows):
+            self.by_start.setdefault(p[:n], []).append(i)
+            for g in self.grams[i]:
+                self.by_gram.setdefault(g, []).append(i)
+        self.starts = sorted({len(g) for g in self.by_start})
+
+    def within(self, text: str) -> list[int]:
+        """Phrases that the text holds."""
+        found: set[int] = set()
+        for size in self.starts:
+            starts = {text[i : i + size] for i in range(len(text) - size + 1)}
+            for g in starts & self.by_start.keys() if len(starts) > len(self.by_start) else (g for g in starts if g in self.by_start):
+                found.update(i for i in self.by_start[g] if self.rows[i][1] in text)
+        return sorted(found)
+
+    def near(self, text: str, least_cover: float, least: float) -> list[tuple[int, float]]:
+        """Phrases whose fuzzy score in the text is at least `least`, with it."""
+        hits: dict[int, int] = {}
+        for g in {text[i : i + 3] for i in range(len(text) - 2)} or {text}:
+            for i in self.by_gram.get(g, ()):
+                hits[i] = hits.get(i, 0) + 1
+        out = []
+        for i, n in sorted(hits.items()):
+            phrase = self.rows[i][1]
+            cover = n / len(self.grams[i])
+            if len(phrase) >= 5 and cover >= least_cover and 0.65 * cover + 0.35 >= least:
+                score = 0.65 * cover + 0.35 * common_length(phrase, text) / len(phrase)
+                if score >= least:
+                    out.append((i, score))
+        return out
+
+
+def common_length(phrase: str, text: str) -> int:
+    """Length of the phrase's longest substring that the text holds: where one of some length is, shorter ones are."""
+    low, high = 0, len(phrase)
+    while low < high:
+        mid = (low + high + 1) // 2
+        if any(phrase[i : i + mid] in text for i in range(len(phrase) - mid + 1)):
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def _by_blocks(phrases: DataFrame, docs: DataFrame, work: Callable[[Phrases, str], list[tuple[int, float]]], block: int) -> DataFrame:
+    """One pass over docs (id, text) for each `block` phrases (phrase_id, phrase, confidence), which go along with the tasks."""
+    rows = [(r["phrase_id"], surface_of(r["phrase"] or ""), r["confidence"]) for r in phrases.select("phrase_id", "phrase", "confidence").distinct().toLocalIterator()]
+    rows = sorted(r for r in rows if r[1])
+    kind = docs.schema["id"].dataType.simpleString()
+    owner = phrases.schema["phrase_id"].dataType.simpleString()
+
+    def over(part: list[tuple[int, str, float]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Phrases(part)
+            for batch in batches:
+                found = [(d, part[i][0], s) for d, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True) if text for i, s in work(index, surface_of(text))]
+                ids, owners, scores = zip(*found, strict=True) if found else ((), (), ())
+                yield pa.RecordBatch.from_pydict({"phrase_id": list(owners), "id": list(ids), "score": list(scores)}, schema=pa.schema([("phrase_id", types[0]), ("id", types[1]), ("score", pa.float64())]))
+
+        return docs.select("id", "text").mapInArrow(run, f"phrase_id {owner}, id {kind}, score double")
+
+    types = [to_arrow_type(phrases.schema["phrase_id"].dataType), to_arrow_type(docs.schema["id"].dataType)]
+    return reduce(DataFrame.unionByName, [over(rows[i : i + block]) for i in range(0, max(1, len(rows)), block)])
+
+
+def phrase_matches(phrases: DataFrame, docs: DataFrame, block: int = 100_000) -> DataFrame:
     """(phrase_id, phrase, confidence) in docs (id, text): (phrase_id, id, kind, score), exact finds only where the phrase is there as it is.
 
-    Phrases are a bounded set, checked, and go to every task; each document's surface is made once.
+    Phrases are looked up by their first characters, so that a document costs one pass however many there are; more than
+    `block` take a pass over the documents each.
     """
-    packed = phrases.select("phrase_id", surface(F.col("phrase")).alias("p"), "confidence").where("p <> ''").limit(most_phrases + 1)
-    packed = packed.agg(F.collect_list(F.struct("phrase_id", "p", "confidence")).alias("ps"), F.count("*").alias("n"))
-    packed = packed.select(F.when(F.col("n") > most_phrases, F.raise_error(F.lit(f"more than {most_phrases} phrases"))).otherwise(F.col("ps")).alias("ps"))
-    found = docs.select("id", surface(F.col("text")).alias("s")).crossJoin(F.broadcast(packed)).select("id", F.explode(F.filter("ps", lambda p: F.contains(F.col("s"), p["p"]))).alias("p"))
-    return found.select("p.phrase_id", "id", F.lit("exact").alias("kind"), F.col("p.confidence").alias("score"))
-
-
-def fuzzy_matches(phrases: DataFrame, docs: DataFrame) -> DataFrame:
-    """Fuzzy finds (phrase_id, id, score). Only documents that share enough trigrams are scored: an equi-join on trigrams, not all pairs."""
-    p = phrases.select("phrase_id", surface(F.col("phrase")).alias("p"), "confidence").where(F.length("p") >= 5).withColumn("g", ngrams(F.col("p")))
-    d = docs.select("id", surface(F.col("text")).alias("s"))
-    grams = d.select("id", F.explode(ngrams(F.col("s"))).alias("gram"))
-    shared = grams.join(p.select("phrase_id", F.size("g").alias("n"), F.explode("g").alias("gram")), "gram").groupBy("phrase_id", "id").agg(F.count("*").alias("hits"), F.first("n").alias("n"))
-    near = shared.where(F.col("hits") >= 0.55 * F.col("n")).select("phrase_id", "id", "hits", "n").join(p.select("phrase_id", "p", "confidence"), "phrase_id").join(d, "id")
-    score = 0.65 * F.col("hits") / F.col("n") + 0.35 * longest_common(F.col("p"), F.col("s")) / F.length("p")
-    return near.withColumn("raw", score).where("raw >= 0.78").select("phrase_id", "id", (F.col("raw") * F.col("confidence")).alias("score"))
+    found = _by_blocks(phrases, docs, lambda index, s: [(i, index.rows[i][2]) for i in index.within(s)], block)
+    return found.select("phrase_id", "id", F.lit("exact").alias("kind"), "score")
+
+
+def fuzzy_matches(phrases: DataFrame, docs: DataFrame, least_cover: float = 0.55, least: float = 0.78, block: int = 100_000) -> DataFrame:
+    """Fuzzy finds (phrase_id, id, score): a document's trigrams lead to phrases, of which those that share enough are scored."""
+    return _by_blocks(phrases, docs, lambda index, s: [(i, x * index.rows[i][2]) for i, x in index.near(s, least_cover, least)], block)
+
+
+def surface_frequency(words: DataFrame, docs: DataFrame, block: int = 100_000) -> DataFrame:
+    """(term, df): how many docs (id, text) hold each distinct word of `words` (term) as a substring. Found words are counted in each task first."""
+    rows = sorted(r["term"] for r in words.select("term").distinct().where("term <> ''").toLocalIterator())
+
+    def over(part: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index, counts = Phrases([(i, w, 1.0) for i, w in enumerate(part)]), Counter()
+            for batch in batches:
+                for text in batch.column("text").to_pylist():
+                    counts.update(index.within(text.lower()) if text else ())
+            yield pa.RecordBatch.from_arrays([pa.array([part[i] for i in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+
+        return docs.select("text").mapInArrow(run, "term string, n bigint")
+
+    found = reduce(DataFrame.unionByName, [over(rows[i : i + block]) for i in range(0, max(1, len(rows)), block)])
+    return found.groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def best_clue(matches: DataFrame, group: str = "query_id") -> DataFrame:

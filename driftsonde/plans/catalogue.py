@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from driftsonde.plans import catalogue_eval, catalogue_more  # noqa: F401  they register their own
+    from driftsonde.plans import catalogue_eval, catalogue_links, catalogue_more, catalogue_paths  # noqa: F401  they register their own
 
     return dict(_QUERIES)
 
@@ -46,33 +46,36 @@ def r6(c) -> F.Column:
 # Vector search -------------------------------------------------------------------------------------------------------
 
 
-def _dense(spark: SparkSession, d: str, measure=search.dot, below: int = 20) -> DataFrame:
-    e = t(spark, d, "embeddings")
-    asked = e.where(F.col("vec_id") < below).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return search.dense_scores(asked, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), measure)
+def _queries(spark: SparkSession, d: str) -> DataFrame:
+    """Every embedding whose id is divisible by 50, as a query."""
+    return t(spark, d, "embeddings").where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+def _corpus(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), *more)
 
 
 _DENSE_SQL = """s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score
-  FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id < 20)"""
+  FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)"""
 
 
 @query(f"WITH {_DENSE_SQL} SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s QUALIFY rank <= 10")
 def v_dense_topk_dot(spark, d):
-    return search.top_k(_dense(spark, d), 10).withColumn("score", r6("score"))
+    return search.dense_topk(_queries(spark, d), _corpus(spark, d), 10).withColumn("score", r6("score"))
 
 
 @query("""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score
-FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id < 20)
+FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s QUALIFY rank <= 10""")
 def v_dense_topk_cosine(spark, d):
-    return search.top_k(_dense(spark, d, search.cosine), 10).withColumn("score", r6("score"))
+    return search.dense_topk(_queries(spark, d), _corpus(spark, d), 10, "cosine").withColumn("score", r6("score"))
 
 
 @query(f"""WITH {_DENSE_SQL} SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank
 FROM s JOIN embeddings e ON e.vec_id = s.id WHERE score >= 0.1 AND e.label IN (1, 3, 5) QUALIFY rank <= 20""")
 def v_threshold_filtered(spark, d):
-    e = t(spark, d, "embeddings").where(F.col("label").isin(1, 3, 5)).select(F.col("vec_id").alias("id"))
-    return search.top_k(_dense(spark, d).where("score >= 0.1").join(e, "id", "left_semi"), 20).select("query_id", "id", r6("score").alias("score"), "rank")
+    near = search.dense_topk(_queries(spark, d), _corpus(spark, d, "label").where(F.col("label").isin(1, 3, 5)), 20, least=0.1)
+    return near.withColumn("score", r6("score"))
 
 
 @query("SELECT vec_id, round(list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])))[1], 6) AS first, round(list_sum(list_transform(embedding, lambda x: pow(x::DOUBLE, 2))) / list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS length FROM embeddings")
@@ -98,26 +101,37 @@ def v_group_mean_pool(spark, d):
     return parts.groupBy("label", "p").agg(r6(F.avg(F.col("x").cast("double"))).alias("mean")).select("label", (F.col("p") + 1).alias("pos"), "mean")
 
 
-@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity
-FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id < 30 AND b.vec_id < 30""")
+@query("""SELECT a.vec_id AS query_id, count(*) AS n, round(avg(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS mean,
+round(max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS most, round(min(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS least
+FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY a.vec_id""")
 def v_pairwise_similarity(spark, d):
-    e = t(spark, d, "embeddings").where("vec_id < 30")
-    a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", r6(search.cosine(F.col("x"), F.col("y"))).alias("similarity"))
+    out = search.similarity_report(_queries(spark, d), _corpus(spark, d))
+    return out.select("query_id", "n", *(r6(c).alias(c) for c in ("mean", "most", "least")))
 
 
 @query(f"""WITH {_DENSE_SQL}, g AS (SELECT query_id, e.label AS label, id, score, row_number() OVER (PARTITION BY query_id, e.label ORDER BY score DESC, id) AS n FROM s JOIN embeddings e ON e.vec_id = s.id)
 SELECT query_id, label, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label)::INT AS rank FROM g WHERE n = 1 QUALIFY rank <= 5""")
 def v_best_per_group(spark, d):
-    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    return search.best_per_group(_dense(spark, d).join(e, "id"), "label", 5).select("query_id", "label", "id", r6("score").alias("score"), "rank")
+    near = search.dense_topk(_queries(spark, d), _corpus(spark, d, "label"), 1, by="label")
+    return search.best_per_group(near, "label", 5).select("query_id", "label", "id", r6("score").alias("score"), "rank")
 
 
 @query(f"""WITH {_DENSE_SQL} SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank
 FROM s WHERE id IN (SELECT doc_id FROM labels WHERE quality = 1) QUALIFY rank <= 5""")
 def v_restricted_search(spark, d):
     ids = t(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
-    return search.top_k(_dense(spark, d).join(ids, "id", "left_semi"), 5).select("query_id", "id", r6("score").alias("score"), "rank")
+    return search.dense_topk(_queries(spark, d), filters.id_filter(_corpus(spark, d), ids, "id", "bigint"), 5).withColumn("score", r6("score"))
+
+
+@query(f"""WITH {_DENSE_SQL}, top AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20)
+SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM top JOIN embeddings e ON e.vec_id = id
+WHERE label = (SELECT label FROM embeddings x WHERE x.vec_id = query_id)""")
+def v_evidence_attached(spark, d):
+    """Rows attached to the final candidates only: the label joins after the cut."""
+    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    near = search.dense_topk(_queries(spark, d), _corpus(spark, d), 20).drop("rank").join(e, "id")
+    same = near.join(e.withColumnsRenamed({"id": "query_id", "label": "wanted"}), "query_id").where("label = wanted").select("query_id", "id", "score")
+    return search.top_k(same, 20).withColumn("score", r6("score"))
 
 
 @query("""SELECT count(*) AS n_rows, count(*) FILTER (vec_id IS NULL) AS n_empty_id, count(*) FILTER (len(embedding) <> 64) AS n_bad_dim,
@@ -141,10 +155,7 @@ sc AS (SELECT query_id, id, sum(qw * tf / (1.2 * (0.25 + 0.75 * dl / avgdl) + tf
 
 
 def _bm25(spark, d):
-    docs = t(spark, d, "documents")
-    posts, stats = bm25.postings(docs, "doc_id", "text"), bm25.fit(docs, "doc_id", "text")
-    weights = bm25.query_weights(t(spark, d, "benchmark"), "item_id", "text", bm25.document_frequency(posts), stats)
-    return bm25.scores(posts, weights, stats)
+    return bm25.search(t(spark, d, "benchmark"), t(spark, d, "documents"), "item_id", "text", "doc_id", "text")
 
 
 @query(f"WITH {_BM25_SQL} SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id)::INT AS rank FROM sc QUALIFY rank <= 10")
@@ -171,25 +182,35 @@ def b_top_terms(spark, d):
 n AS (SELECT count(*) AS n FROM documents), c AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT term FROM w) JOIN documents ON contains(lower(text), term) GROUP BY term)
 SELECT item_id, term, coalesce(df, 0) AS df, coalesce(df, 0) <= greatest(10, round_even(0.045 * n, 0)) AS rare FROM w LEFT JOIN c USING (term), n""")
 def b_surface_frequency(spark, d):
-    """How many documents hold each query word as a substring: the bounded set of words goes to every task, found words are counted there first."""
+    """How many documents hold each query word as a substring."""
     words = t(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(bm25.terms(F.col("text")))).alias("term"))
-    few = words.select("term").distinct().agg(F.collect_list("term").alias("terms"))
-    docs = t(spark, d, "documents").select(F.lower("text").alias("text"))
-    found = docs.crossJoin(F.broadcast(few)).select(F.explode(F.filter("terms", lambda w: F.contains(F.col("text"), w))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))
-    out = words.join(found, "term", "left").crossJoin(F.broadcast(n)).withColumn("df", F.coalesce("df", F.lit(0)))
-    return out.select("item_id", "term", "df", (F.col("df") <= F.greatest(F.lit(10), F.bround(F.col("n") * 0.045))).alias("rare"))
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = surface.surface_frequency(words, docs)
+    out = words.join(found, "term", "left").crossJoin(F.broadcast(docs.agg(F.count("*").alias("n")))).withColumn("df", F.coalesce("df", F.lit(0)))
+    return out.select("item_id", "term", "df", bm25.is_rare(F.col("df"), F.col("n")).alias("rare"))
 
 
-_HYBRID_SQL = f"""{_BM25_SQL}, {_DENSE_SQL},
-h AS (SELECT query_id, id, 0.6 * score AS d, 0.0 AS s FROM s UNION ALL SELECT query_id, id, 0.0, 0.4 * score FROM sc WHERE query_id < 20),
+@query(f"""WITH p AS (SELECT DISTINCT unnest({_TOKENS}) AS term FROM documents), h AS (SELECT term, ('0x' || substr(md5(term), 1, 4))::BIGINT AS bucket FROM p),
+g AS (SELECT bucket, count(*) AS n, string_agg(term, ' ' ORDER BY term) AS terms FROM h GROUP BY bucket) SELECT bucket, n, terms FROM g WHERE n > 1""")
+def b_hash_collisions(spark, d):
+    """Terms of all documents that share a bucket; sixteen bits of MD5 here, as DuckDB has no Murmur3."""
+    posts = t(spark, d, "documents").select(F.explode_outer(bm25.terms(F.col("text"))).alias("term")).where("term is not null")
+    short = lambda c: F.conv(F.substring(F.md5(c.cast("binary")), 1, 4), 16, 10).cast("bigint")
+    return bm25.hash_collisions(posts, short).select("bucket", "n", F.array_join("terms", " ").alias("terms"))
+
+
+_HYBRID_SQL = f"""{_BM25_SQL}, s AS (SELECT item_id AS query_id, c.vec_id AS id, list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score
+  FROM benchmark JOIN embeddings q ON q.vec_id = item_id JOIN embeddings c ON q.vec_id <> c.vec_id),
+h AS (SELECT query_id, id, 0.6 * score AS d, 0.0 AS s FROM s UNION ALL SELECT query_id, id, 0.0, 0.4 * score FROM sc),
 f AS (SELECT query_id, id, round(sum(d) + sum(s), 9) AS score FROM h GROUP BY query_id, id)"""
 
 
 @query(f"WITH {_HYBRID_SQL} SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM f QUALIFY rank <= 10")
 def q_hybrid_search(spark, d):
-    fused = search.hybrid_sum(_dense(spark, d), _bm25(spark, d).where("query_id < 20"), 0.6)
-    return search.top_k(fused.withColumn("score", F.round("score", 9)), 10).withColumn("score", r6("score"))
+    """Every benchmark item: its text against all documents, the embedding of its number against all embeddings."""
+    asked = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).join(t(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "query_id", "left")
+    near = search.hybrid_topk(asked, _corpus(spark, d), _bm25(spark, d), 0.6, 12)
+    return search.top_k(near.drop("rank").withColumn("score", F.round("score", 9)), 10).withColumn("score", r6("score"))
 
 
 # Filters and lookups -------------------------------------------------------------------------------------------------
@@ -206,7 +227,7 @@ def f_and_or_not(spark, d):
 SELECT p_partkey, NOT coalesce(brand = 'Brand#11', false) AS differs, brand IS NOT NULL AND brand NOT IN ('Brand#11', 'Brand#12') AS outside FROM p""")
 def f_null_semantics(spark, d):
     p = t(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 5 != 0, F.col("p_brand")).alias("brand"))
-    return p.select("p_partkey", filters.compile_filter(p, {"brand": {"$ne": "Brand#11"}}).alias("differs"), filters.compile_filter(p, {"brand": {"$nin": ["Brand#11", "Brand#12"]}}).alias("outside"))
+    return p.select("p_partkey", filters.passes(p, {"brand": {"$ne": "Brand#11"}}).alias("differs"), filters.passes(p, {"brand": {"$nin": ["Brand#11", "Brand#12"]}}).alias("outside"))
 
 
 @query("""SELECT doc_id FROM documents WHERE list_contains(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), 'the') AND list_contains(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), 'er')""")
@@ -224,7 +245,7 @@ def f_era_windows(spark, d):
 @query(f"""WITH {_DENSE_SQL}, k AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
 SELECT query_id, id, rank::INT AS rank, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT AS kept_rank FROM k WHERE rank <= 15 AND (query_id + id) % 3 <> 0 QUALIFY kept_rank <= 5""")
 def f_reject_then_trim(spark, d):
-    ranked = search.top_k(_dense(spark, d), 15)
+    ranked = search.dense_topk(_queries(spark, d), _corpus(spark, d), 15)
     rejected = ranked.where("(query_id + id) % 3 = 0").select("query_id", "id")
     return filters.reject_then_trim(ranked, rejected, 5).select("query_id", "id", "rank", "kept_rank")
 
@@ -251,14 +272,20 @@ def k_upsert_remove(spark, d):
 
 _LISTS_SQL = f"""{_DENSE_SQL}, lists AS (
 SELECT query_id, 'dense' AS path, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 30
-UNION ALL SELECT query_id, 'mixed', id, row_number() OVER (PARTITION BY query_id ORDER BY (id * 37 + query_id * 11) % 101, id) AS rank FROM s QUALIFY rank <= 30
+UNION ALL SELECT query_id, 'mixed', id, row_number() OVER (PARTITION BY query_id ORDER BY list_inner_product(q.embedding[1:32]::DOUBLE[], c.embedding[1:32]::DOUBLE[]) DESC, id) AS rank
+  FROM s JOIN embeddings q ON q.vec_id = query_id JOIN embeddings c ON c.vec_id = id QUALIFY rank <= 30
 UNION ALL SELECT query_id, 'id', id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM s QUALIFY rank <= 10)"""
 
 
 def _lists(spark, d) -> DataFrame:
-    scored = _dense(spark, d)
-    path = lambda name, k, *order: scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", F.lit(name).alias("path"), "id", "rank")
-    return path("dense", 30, F.desc("score"), "id").unionByName(path("mixed", 30, (F.col("id") * 37 + F.col("query_id") * 11) % 101, "id")).unionByName(path("id", 10, "id"))
+    """Three ranked lists a query: by all of the vector, by its first half, and the first ids."""
+    asked, corpus = _queries(spark, d), _corpus(spark, d)
+    half = lambda df, c: df.withColumn(c, F.slice(c, 1, 32))
+    path = lambda rows, name: rows.select("query_id", F.lit(name).alias("path"), "id", "rank")
+    first = asked.select("query_id").crossJoin(F.broadcast(corpus.select("id").orderBy("id").limit(11))).where("id <> query_id")
+    first = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).where("rank <= 10")
+    dense, mixed = search.dense_topk(asked, corpus, 30), search.dense_topk(half(asked, "query"), half(corpus, "vector"), 30)
+    return path(dense, "dense").unionByName(path(mixed, "mixed")).unionByName(path(first, "id"))
 
 
 _RRF_SQL = f"""{_LISTS_SQL}, r AS (SELECT query_id, id,
@@ -314,23 +341,6 @@ def r_lyric_boost(spark, d):
     return t(spark, d, "events").select("event_id", F.round(fusion.lyric_boost(kind, F.lit(0.9), 1 + F.col("event_id") % 50), 9).alias("boost"))
 
 
-@query("""WITH p AS (SELECT p_partkey, p_size, p_brand = 'Brand#11' AS title, p_type LIKE '%STEEL%' AS genre FROM part)
-SELECT p_partkey, round(CASE WHEN title THEN 5.0 / 61 ELSE 0 END, 9) AS title_delta, round(CASE WHEN genre THEN 1.0 / 61 ELSE 0 END, 9) AS genre_delta,
-round(CASE WHEN p_size > 25 THEN 1.0 / 61 WHEN p_size > 10 THEN 0.25 / 61 ELSE -0.5 / 61 END, 9) AS gender_delta,
-round(CASE WHEN title THEN 5.0 / 61 ELSE 0 END + CASE WHEN genre THEN 1.0 / 61 ELSE 0 END + CASE WHEN p_size > 25 THEN 1.0 / 61 WHEN p_size > 10 THEN 0.25 / 61 ELSE -0.5 / 61 END, 9) AS boost FROM p""")
-def r_boost_ledger(spark, d):
-    """Each rule keeps a column of its own, so that the ledger is the plan."""
-    u, size = fusion.UNIT, F.col("p_size")
-    p = t(spark, d, "part").select(
-        "p_partkey",
-        F.when(F.col("p_brand") == "Brand#11", 5 * u).otherwise(0.0).alias("title_delta"),
-        F.when(F.contains("p_type", F.lit("STEEL")), u).otherwise(0.0).alias("genre_delta"),
-        F.when(size > 25, u).when(size > 10, 0.25 * u).otherwise(-0.5 * u).alias("gender_delta"),
-    )
-    names = ["title_delta", "genre_delta", "gender_delta"]
-    return p.select("p_partkey", *(F.round(n, 9).alias(n) for n in names), F.round(F.col(names[0]) + F.col(names[1]) + F.col(names[2]), 9).alias("boost"))
-
-
 @query("""WITH p AS (SELECT p_brand AS query_id, p_partkey AS id, p_retailprice AS retrieval, CASE WHEN p_partkey % 3 <> 0 THEN (p_partkey * 13 % 29)::DOUBLE END AS judged FROM part),
 n AS (SELECT *, CASE WHEN max(retrieval) OVER w = min(retrieval) OVER w THEN 1.0 ELSE (retrieval - min(retrieval) OVER w) / (max(retrieval) OVER w - min(retrieval) OVER w) END AS r,
 CASE WHEN max(judged) OVER w = min(judged) OVER w THEN 1.0 ELSE (judged - min(judged) OVER w) / (max(judged) OVER w - min(judged) OVER w) END AS j,
@@ -390,7 +400,10 @@ def _phrases(spark, d):
     return t(spark, d, "benchmark").select(F.col("item_id").alias("phrase_id"), F.array_join(words, " ").alias("phrase"), F.lit(0.9).alias("confidence"))
 
 
-@query(f"""WITH p AS (SELECT item_id AS phrase_id, {_SURFACE.format("array_to_string(string_split(text, ' ')[3:7], ' ')")} AS p FROM benchmark),
+_PHRASE = _SURFACE.format("array_to_string(string_split(text, ' ')[3:7], ' ')")
+
+
+@query(f"""WITH p AS (SELECT item_id AS phrase_id, {_PHRASE} AS p FROM benchmark),
 s AS (SELECT doc_id AS id, {_SURFACE.format("text")} AS s FROM documents)
 SELECT phrase_id, id, 'exact' AS kind, 0.9 AS score, count(*) OVER (PARTITION BY phrase_id) AS phrase_count FROM p JOIN s ON contains(s, p) WHERE p <> ''
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY phrase_id) = 1""")
@@ -399,19 +412,19 @@ def l_exact_phrases(spark, d):
     return surface.best_clue(found.withColumn("_q", F.lit(1)), "_q").select("phrase_id", "id", "kind", F.col("score"), "phrase_count")
 
 
-@query(f"""WITH p AS (SELECT item_id AS phrase_id, {_SURFACE.format("array_to_string(string_split(text, ' ')[3:7], ' ')")} AS p FROM benchmark),
-b AS (SELECT phrase_id, CASE WHEN phrase_id % 2 = 0 THEN p ELSE substr(p, 1, 6) || 'zq' || substr(p, 9) END AS p FROM p WHERE length(p) >= 12),
+@query(f"""WITH p AS (SELECT item_id AS phrase_id, {_PHRASE} AS p FROM benchmark),
+b AS (SELECT phrase_id, CASE WHEN phrase_id % 2 = 0 THEN p ELSE substr(p, 1, 6) || 'zq' || substr(p, 9) END AS p FROM p WHERE length(p) >= 5),
 g AS (SELECT phrase_id, p, list_distinct(list_transform(generate_series(1, length(p) - 2), lambda i: substr(p, i, 3))) AS g FROM b),
-s AS (SELECT item_id AS id, {_SURFACE.format("text")} AS s FROM benchmark),
+s AS (SELECT doc_id AS id, {_SURFACE.format("text")} AS s FROM documents),
 c AS (SELECT phrase_id, id, p, len(list_filter(g, lambda x: contains(s, x))) / len(g) AS cover,
   coalesce(list_max(list_filter(generate_series(1, length(p)), lambda n: len(list_filter(generate_series(1, length(p) - n + 1), lambda i: contains(s, substr(p, i, n)))) > 0)), 0) / length(p) AS common
-  FROM g JOIN s ON len(list_filter(g, lambda x: contains(s, x))) >= 0.55 * len(g))
+  FROM g JOIN s ON len(list_filter(g, lambda x: contains(s, x))) >= 0.55 * len(g) AND 0.65 * len(list_filter(g, lambda x: contains(s, x))) / len(g) + 0.35 >= 0.78)
 SELECT phrase_id, id, round((0.65 * cover + 0.35 * common) * 0.9, 6) AS score FROM c WHERE 0.65 * cover + 0.35 * common >= 0.78""")
 def l_fuzzy_phrases(spark, d):
-    p = _phrases(spark, d).withColumn("phrase", surface.surface(F.col("phrase"))).where(F.length("phrase") >= 12)
+    p = _phrases(spark, d).withColumn("phrase", surface.surface(F.col("phrase"))).where(F.length("phrase") >= 5)
     broken = F.concat(F.substring("phrase", 1, 6), F.lit("zq"), F.substring("phrase", 9, 1000))
     p = p.withColumn("phrase", F.when(F.col("phrase_id") % 2 == 0, F.col("phrase")).otherwise(broken))
-    return surface.fuzzy_matches(p, t(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")).withColumn("score", r6("score"))
+    return surface.fuzzy_matches(p, t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")).withColumn("score", r6("score"))
 
 
 @query("""WITH n AS (SELECT n_nationkey AS name_id, lower(n_name) AS name FROM nation UNION ALL SELECT 100 + r_regionkey, 'the ' || lower(substr(r_name, 1, 2)) FROM region UNION ALL SELECT 200, 'of the'),

@@ -7,24 +7,14 @@ from pyspark.sql import functions as F
 
 from driftsonde.functions import text as T
 from driftsonde.operators import cases, clarify, fusion, metrics, search
-from driftsonde.plans.catalogue import _DENSE_SQL, _RRF_SQL, _WEIGHTS, _dense, _lists, query, r6, t
+from driftsonde.plans.catalogue import _DENSE_SQL, _RRF_SQL, _WEIGHTS, _corpus, _lists, _queries, query, r6, t
 from driftsonde.streaming.cases import windowed_counts
 
 # Metrics -------------------------------------------------------------------------------------------------------------
 
 _JUDGED_SQL = f"""{_DENSE_SQL}, top AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 20),
-pos AS (SELECT q.vec_id AS query_id, c.vec_id AS id FROM embeddings q JOIN embeddings c ON q.label = c.label AND c.vec_id <> q.vec_id WHERE q.vec_id < 20 AND c.vec_id % 2 = 0),
-neg AS (SELECT q.vec_id AS query_id, c.vec_id AS id FROM embeddings q JOIN embeddings c ON (q.label + 1) % 10 = c.label WHERE q.vec_id < 20)"""
-
-
-def _judged(spark, d) -> DataFrame:
-    """(query_id, label, ranked, positives, negatives): 20 nearest, same label and even id, next label."""
-    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    ranked = metrics.ranked_arrays(search.top_k(_dense(spark, d), 20))
-    labels = e.groupBy("label").agg(F.array_sort(F.collect_list(F.when(F.col("id") % 2 == 0, F.col("id")))).alias("even"), F.array_sort(F.collect_list("id")).alias("every"))
-    q = e.where("id < 20").select(F.col("id").alias("query_id"), "label")
-    out = ranked.join(q, "query_id").join(labels.select("label", "even"), "label").join(labels.select(((F.col("label") + 9) % 10).alias("label"), F.col("every").alias("negatives")), "label", "left")
-    return out.select("query_id", "label", "ranked", F.array_remove("even", F.col("query_id")).alias("positives"), F.coalesce("negatives", F.array().cast("array<bigint>")).alias("negatives"))
+pos AS (SELECT q.vec_id AS query_id, c.vec_id AS id FROM embeddings q JOIN embeddings c ON q.label = c.label AND c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0 AND c.vec_id % 2 = 0),
+neg AS (SELECT q.vec_id AS query_id, c.vec_id AS id FROM embeddings q JOIN embeddings c ON (q.label + 1) % 10 = c.label WHERE q.vec_id % 50 = 0)"""
 
 
 _METRIC_ROWS = """m AS (SELECT q.vec_id AS query_id, q.label,
@@ -35,21 +25,26 @@ coalesce((SELECT sum(1 / log2(rank + 1)) FROM top JOIN pos USING (query_id, id)
 (SELECT min(rank) FROM top JOIN pos USING (query_id, id) WHERE query_id = q.vec_id) AS first_rank,
 coalesce((SELECT count(*) FROM top JOIN neg USING (query_id, id) WHERE query_id = q.vec_id AND rank <= 10) / nullif((SELECT count(*) FROM neg WHERE query_id = q.vec_id), 0), 0) AS negative_rate,
 (SELECT avg(rank) FROM top JOIN neg USING (query_id, id) WHERE query_id = q.vec_id) AS negative_rank
-FROM embeddings q WHERE q.vec_id < 20)"""
+FROM embeddings q WHERE q.vec_id % 50 = 0)"""
 
 
 def _measured(spark, d) -> DataFrame:
-    r, p, n = F.col("ranked"), F.col("positives"), F.col("negatives")
-    return _judged(spark, d).select(
-        "query_id", "label", metrics.recall_at(r, p, 10).alias("recall"), metrics.reciprocal_rank(r, p, 10).alias("rr"), metrics.ndcg_at(r, p, 10).alias("ndcg"),
-        metrics.first_rank(r, p).alias("first_rank"), metrics.negative_rate_at(r, n, 10).alias("negative_rate"), metrics.mean_negative_rank(r, n).alias("negative_rank"),
-    )
+    """Metrics of the 20 nearest: rows of the same label and an even id are right, those of the next label wrong."""
+    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    asked = e.where("id % 50 = 0").select(F.col("id").alias("query_id"), "label")
+    sizes = e.groupBy("label").agg(F.count_if(F.col("id") % 2 == 0).alias("_even"), F.count("*").alias("_all"))
+    after = sizes.select(((F.col("label") + 9) % 10).alias("label"), F.col("_all").alias("n_negative"))
+    totals = asked.join(sizes, "label").join(after, "label", "left")
+    totals = totals.select("query_id", "label", (F.col("_even") - (F.col("query_id") % 2 == 0).cast("int")).alias("n_positive"), F.coalesce("n_negative", F.lit(0)).alias("n_negative"))
+    near = search.dense_topk(_queries(spark, d), _corpus(spark, d), 20).join(e.withColumnRenamed("label", "_other"), "id").join(asked, "query_id")
+    found = near.select("query_id", "id", "rank", ((F.col("_other") == F.col("label")) & (F.col("id") % 2 == 0)).alias("positive"), (F.col("_other") == (F.col("label") + 1) % 10).alias("negative"))
+    return metrics.from_ranks(found, totals, 10).join(asked, "query_id")
 
 
 @query(f"WITH {_JUDGED_SQL}, {_METRIC_ROWS} SELECT query_id, label, round(recall, 6) AS recall, round(rr, 6) AS rr, round(ndcg, 6) AS ndcg, first_rank::INT AS first_rank, round(negative_rate, 6) AS negative_rate, round(negative_rank, 6) AS negative_rank FROM m")
 def a_query_metrics(spark, d):
     names = ["recall", "rr", "ndcg", "negative_rate", "negative_rank"]
-    return _measured(spark, d).withColumns({n: r6(n) for n in names})
+    return _measured(spark, d).withColumns({n: r6(n) for n in names}).select("query_id", "label", *names, "first_rank")
 
 
 @query(f"WITH {_JUDGED_SQL}, {_METRIC_ROWS} SELECT label, count(*) AS n, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(avg(CASE WHEN first_rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit5 FROM m GROUP BY GROUPING SETS ((label), ())")
@@ -61,7 +56,7 @@ def a_group_means(spark, d):
 @query(f"WITH {_DENSE_SQL}, top AS (SELECT query_id, id FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10) SELECT query_id, round(count(DISTINCT label) / count(*), 6) AS diversity FROM top JOIN embeddings ON vec_id = id GROUP BY query_id")
 def a_diversity(spark, d):
     e = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    return search.top_k(_dense(spark, d), 10).join(e, "id").groupBy("query_id").agg(r6(F.count_distinct("label") / F.count("*")).alias("diversity"))
+    return search.dense_topk(_queries(spark, d), _corpus(spark, d), 10).join(e, "id").groupBy("query_id").agg(r6(F.count_distinct("label") / F.count("*")).alias("diversity"))
 
 
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events)
@@ -76,12 +71,12 @@ def a_rank_buckets(spark, d):
     return fusion.rrf(_lists(spark, d), _WEIGHTS).groupBy(metrics.rank_bucket(F.col("rank")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_RRF_SQL}, w AS (SELECT q.vec_id AS query_id, c.vec_id AS id FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id < 20)
+@query(f"""WITH {_RRF_SQL}, w AS (SELECT q.vec_id AS query_id, c.vec_id AS id FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT w.query_id, w.id, CASE WHEN rank <= 10 THEN 'kept' WHEN NOT EXISTS (SELECT 1 FROM lists l WHERE l.query_id = w.query_id AND l.id = w.id) THEN 'no_path' WHEN rank IS NULL OR rank > 30 THEN 'fusion_cut' ELSE 'final_cut' END AS stage
 FROM w LEFT JOIN f ON f.query_id = w.query_id AND f.id = w.id""")
 def a_drop_stage(spark, d):
     e, lists = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), _lists(spark, d)
-    wanted = e.where("id < 20").select(F.col("id").alias("query_id"), "label").join(e, "label").where("id <> query_id").select("query_id", "id")
+    wanted = e.where("id % 50 = 0").select(F.col("id").alias("query_id"), "label").join(e, "label").where("id <> query_id").select("query_id", "id")
     pool = lists.select("query_id", "id", F.lit(True).alias("pooled")).distinct()
     out = wanted.join(pool, ["query_id", "id"], "left").join(fusion.rrf(lists, _WEIGHTS).select("query_id", "id", "rank"), ["query_id", "id"], "left")
     final = F.when(F.col("rank") <= 10, F.col("rank"))
@@ -212,13 +207,13 @@ def st_effective_review(spark, d):
     return t(spark, d, "events").select("event_id", cases.effective_review(state, F.col("event_id") % 4, F.lit(1)).alias("review"))
 
 
-@query("""WITH x AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id % 13 = 0 GROUP BY ALL), s AS (SELECT unnest(['view', 'click', 'purchase']) AS stage, unnest([1, 2, 3]) AS pos),
+@query("""WITH x AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), s AS (SELECT unnest(['view', 'click', 'purchase']) AS stage, unnest([1, 2, 3]) AS pos),
 u AS (SELECT DISTINCT user_id FROM x), g AS (SELECT user_id, stage, pos, coalesce(n, 0) AS n FROM u CROSS JOIN s LEFT JOIN x USING (user_id) WHERE x.event_type = stage OR x.event_type IS NULL),
 a AS (SELECT u.user_id, s.stage, s.pos, coalesce((SELECT n FROM x WHERE x.user_id = u.user_id AND x.event_type = s.stage), 0) AS n FROM u CROSS JOIN s)
 SELECT user_id, coalesce(arg_min(CASE WHEN n >= 3 THEN 'exhausted' ELSE stage END, pos) FILTER (n % 2 = 0), 'complete') AS next FROM a GROUP BY user_id""")
 def st_next_stage(spark, d):
     """A stage is done after an odd number of tries here."""
-    n = t(spark, d, "events").where("event_id % 13 = 0").groupBy("user_id", "event_type").count()
+    n = t(spark, d, "events").groupBy("user_id", "event_type").count()
     by = n.groupBy("user_id").agg(F.collect_list(F.when(F.col("count") % 2 == 1, F.col("event_type"))).alias("done"), F.map_from_entries(F.collect_list(F.struct("event_type", "count"))).alias("tries"))
     return by.select("user_id", cases.next_stage(F.col("done"), F.col("tries"), ["view", "click", "purchase"]).alias("next"))
 
@@ -302,21 +297,26 @@ def m_stratified_pick(spark, d):
 # Text ----------------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH p AS (SELECT p_partkey, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' (live 2)' ELSE '' END AS title FROM part), b AS (SELECT *, trim(regexp_extract(title, '^([^(\\[{]*)', 1)) AS base FROM p),
-f AS (SELECT *, regexp_replace(base, '[^\\p{L}\\p{N}]', '', 'g') AS letters, list_filter(string_split_regex(lower(base), '\\s+'), lambda w: w <> '') AS words FROM b)
-SELECT p_partkey, base, CASE WHEN regexp_matches(letters, '[A-Za-z]') THEN 'latin' WHEN regexp_matches(letters, '[0-9]') THEN 'numeric' ELSE 'none' END AS script, length(letters) AS n_chars, len(words) AS n_words,
-regexp_matches(letters, '[0-9]') AS has_number, len(list_distinct(string_split(letters, ''))) < length(letters) AS repeats_char, len(list_distinct(words)) < len(words) AS repeats_word, regexp_matches(title, '[A-Za-z]') AS latin_anywhere, regexp_matches(title, '[0-9]') AS number_anywhere FROM f""")
+@query("""WITH p AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_name || ' (live 2)' WHEN 1 THEN '사랑 愛' WHEN 2 THEN 'na na NA' WHEN 3 THEN '(intro)' ELSE p_partkey::VARCHAR END AS title FROM part),
+b AS (SELECT *, CASE WHEN trim(regexp_extract(title, '^([^(\\[]*)', 1)) = '' THEN title ELSE trim(regexp_extract(title, '^([^(\\[]*)', 1)) END AS base FROM p),
+f AS (SELECT *, regexp_replace(base, '[^A-Za-z0-9가-힣一-鿿]', '', 'g') AS letters, regexp_extract_all(lower(base), '[A-Za-z0-9가-힣一-鿿]+') AS words FROM b),
+k AS (SELECT *, regexp_matches(letters, '[A-Za-z]') AS l, regexp_matches(letters, '[가-힣]') AS h, regexp_matches(letters, '[一-鿿]') AS c, regexp_matches(letters, '[0-9]') AS n FROM f)
+SELECT p_partkey, base, CASE WHEN l::INT + h::INT + c::INT + n::INT > 1 THEN 'mixed' WHEN l THEN 'latin' WHEN h THEN 'hangul' WHEN c THEN 'hanja' WHEN n THEN 'numeric' END AS script,
+nullif(length(letters), 0)::INT AS char_count, nullif(len(words), 0)::INT AS word_count, n AS contains_number,
+length(letters) >= 2 AND len(list_distinct(string_split(lower(letters), ''))) = 1 AS repeated_char, len(words) >= 2 AND len(list_distinct(words)) = 1 AS repeated_word,
+regexp_matches(title, '[A-Za-z]') AS latin_anywhere, regexp_matches(title, '[가-힣]') AS hangul_anywhere, regexp_matches(title, '[一-鿿]') AS hanja_anywhere, regexp_matches(title, '[0-9]') AS number_anywhere FROM k""")
 def t_title_features(spark, d):
-    title = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, " (live 2)").otherwise(""))
+    m, key = F.col("p_partkey") % 5, F.col("p_partkey").cast("string")
+    title = F.when(m == 0, F.concat("p_name", F.lit(" (live 2)"))).when(m == 1, "사랑 愛").when(m == 2, "na na NA").when(m == 3, "(intro)").otherwise(key)
     return t(spark, d, "part").select("p_partkey", T.title_features(title).alias("f")).select("p_partkey", "f.*")
 
 
-@query("""WITH f AS (SELECT p_partkey, len(string_split(p_name, ' ')) AS n_words, length(regexp_replace(p_name, '[^\\p{L}\\p{N}]', '', 'g')) AS n_chars FROM part)
+@query("""WITH f AS (SELECT p_partkey, len(regexp_extract_all(p_name, '[A-Za-z0-9]+')) AS n_words, length(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) AS n_chars FROM part)
 SELECT p_partkey, round(CASE WHEN p_partkey % 4 = 0 THEN (n_words = 2)::INT ELSE ((n_words = 2)::INT + (n_chars = 9)::INT) / 2 END, 6) AS ratio FROM f""")
 def t_match_ratio(spark, d):
     f = T.title_features(F.col("p_name"))
     wanted = F.when(F.col("p_partkey") % 4 != 0, F.lit(9))
-    return t(spark, d, "part").select("p_partkey", r6(T.match_ratio((F.lit(2), f["n_words"]), (wanted, f["n_chars"]))).alias("ratio"))
+    return t(spark, d, "part").select("p_partkey", r6(T.match_ratio((F.lit(2), f["word_count"]), (wanted, f["char_count"]))).alias("ratio"))
 
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y.%m.%d') AS day, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y.%m') ELSE strftime(o_orderdate, '%Y') END AS part FROM orders""")
@@ -426,7 +426,9 @@ def t_json_path(spark, d):
     return t(spark, d, "events").select("event_id", "user_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN (event_id * 1000003)::VARCHAR END AS point FROM events""")
+@query("""WITH h AS (SELECT event_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('x' || event_id)) AS h FROM events)
+SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN (event_id * 1000003)::VARCHAR ELSE substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' ||
+['8', '9', 'a', 'b'][1 + ('0x' || substr(h, 17, 1))::INT % 4] || substr(h, 18, 3) || '-' || substr(h, 21, 12) END AS point FROM h""")
 def x_point_ids(spark, d):
     raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("x"), "event_id")).otherwise((F.col("event_id") * 1000003).cast("string"))
-    return t(spark, d, "events").select("event_id", T.point_id(raw).cast("string").alias("point"))
+    return t(spark, d, "events").select("event_id", T.point_id(raw).alias("point"))

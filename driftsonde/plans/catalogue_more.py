@@ -47,17 +47,17 @@ def a_condition_differences(spark, d):
 
 
 @query("""WITH x AS (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS tag, p_retailprice AS v FROM part), m AS (SELECT tag, avg(v) AS mean, count(*) AS n FROM x GROUP BY tag HAVING count(*) >= 20)
-SELECT tag, n, round(mean, 6) AS mean, 'high' AS side FROM m QUALIFY row_number() OVER (ORDER BY round(mean, 6) DESC, tag) <= 2 UNION ALL SELECT tag, n, round(mean, 6), 'low' FROM m QUALIFY row_number() OVER (ORDER BY round(mean, 6), tag) <= 2""")
+SELECT tag, n, round(mean, 6) AS mean, 'high' AS side FROM m QUALIFY row_number() OVER (ORDER BY round(mean, 6) DESC, tag) <= 5 UNION ALL SELECT tag, n, round(mean, 6), 'low' FROM m QUALIFY row_number() OVER (ORDER BY round(mean, 6), tag) <= 5""")
 def a_axis_tags(spark, d):
     m = t(spark, d, "part").select(F.explode(F.split("p_type", " ")).alias("tag"), "p_retailprice").groupBy("tag").agg(F.count("*").alias("n"), r6(F.avg("p_retailprice")).alias("mean")).where("n >= 20")
-    return m.orderBy(F.desc("mean"), "tag").limit(2).withColumn("side", F.lit("high")).unionByName(m.orderBy("mean", "tag").limit(2).withColumn("side", F.lit("low")))
+    return m.orderBy(F.desc("mean"), "tag").limit(5).withColumn("side", F.lit("high")).unionByName(m.orderBy("mean", "tag").limit(5).withColumn("side", F.lit("low")))
 
 
-@query(f"""WITH {_RRF_SQL}, p AS (SELECT query_id, id, rank FROM f), k AS (SELECT unnest([5, 10, 20, 30]) AS depth), w AS (SELECT q.vec_id AS query_id, c.vec_id AS id FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id < 20)
+@query(f"""WITH {_RRF_SQL}, p AS (SELECT query_id, id, rank FROM f), k AS (SELECT unnest([5, 10, 20, 30]) AS depth), w AS (SELECT q.vec_id AS query_id, c.vec_id AS id FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT depth, count(*) FILTER (rank <= depth) AS found, count(*) FILTER (rank <= depth AND rank > 10) AS gained, count(*) FILTER (rank <= 10 AND rank > depth) AS lost FROM w JOIN p USING (query_id, id), k GROUP BY depth""")
 def x_depth_sweep(spark, d):
     e = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    wanted = e.where("id < 20").select(F.col("id").alias("query_id"), "label").join(e, "label").where("id <> query_id").select("query_id", "id")
+    wanted = e.where("id % 50 = 0").select(F.col("id").alias("query_id"), "label").join(e, "label").where("id <> query_id").select("query_id", "id")
     ranks = wanted.join(fusion.rrf(_lists(spark, d), _WEIGHTS).select("query_id", "id", "rank"), ["query_id", "id"]).select("rank", F.explode(F.array(*map(F.lit, (5, 10, 20, 30)))).alias("depth"))
     return ranks.groupBy("depth").agg(F.count_if(F.expr("rank <= depth")).alias("found"), F.count_if(F.expr("rank <= depth and rank > 10")).alias("gained"), F.count_if(F.expr("rank <= 10 and rank > depth")).alias("lost"))
 
@@ -78,10 +78,10 @@ def x_rerank_outcome(spark, d):
     return t(spark, d, "events").select("event_id", linkage.outcome(flags, F.col("value").isNotNull()).alias("outcome"))
 
 
-@query("SELECT lang, string_agg(doc_id::VARCHAR, '|' ORDER BY doc_id) AS relevant_ids FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0 GROUP BY lang")
+@query("SELECT lang, doc_id // 1000 AS part, string_agg(doc_id::VARCHAR, '|' ORDER BY doc_id) AS relevant_ids FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0 GROUP BY lang, part")
 def x_eval_export(spark, d):
     x = t(spark, d, "documents").select("doc_id", "lang").join(t(spark, d, "labels").where("quality = 1 and toxic = 0"), "doc_id")
-    return x.groupBy("lang").agg(F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), "|").alias("relevant_ids"))
+    return x.groupBy("lang", F.floor(F.col("doc_id") / 1000).alias("part")).agg(F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), "|").alias("relevant_ids"))
 
 
 @query("""SELECT p_partkey, CASE WHEN contains(lower(p_name), 'a') AND contains(lower(p_type), 'a') THEN 'both' WHEN contains(lower(p_name), 'a') THEN 'name' WHEN contains(lower(p_type), 'a') THEN 'type' ELSE 'none' END AS field,
@@ -112,11 +112,11 @@ def m_canvas(spark, d):
     return linkage.canvas(p, 1000, 700, 40).select("vec_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
-@query("""WITH p AS (SELECT embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings), a AS (SELECT unnest(generate_series(0, 720, 15)) AS step),
+@query("""WITH p AS (SELECT embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings), a AS (SELECT unnest(generate_series(0, 720)) AS step),
 c AS (SELECT step, corr(cos(radians(step / 4.0)) * x + sin(radians(step / 4.0)) * y, z) AS c FROM p, a GROUP BY step) SELECT step::INT AS step, round(c, 6) AS correlation FROM c QUALIFY row_number() OVER (ORDER BY round(abs(c), 9) DESC, step) = 1""")
 def m_best_rotation(spark, d):
     p = t(spark, d, "embeddings").select(*(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")))
-    return linkage.best_rotation(p, "x", "y", "z", range(0, 721, 15)).withColumn("correlation", r6("correlation"))
+    return linkage.best_rotation(p, "x", "y", "z", range(721)).withColumn("correlation", r6("correlation"))
 
 
 @query("""WITH p AS (SELECT p_partkey, lower(regexp_replace(p_name, '\\s+', '', 'g')) AS key, p_name, p_brand, p_size FROM part),
@@ -127,36 +127,13 @@ def m_candidate_scores(spark, d):
     return t(spark, d, "part").select("p_partkey", *linkage.verdict(points, F.col("p_size") == 1, 60))
 
 
-@query("""WITH s AS (SELECT p_partkey, p_size, p_type LIKE '%STEEL%' AS rap FROM part)
-SELECT p_partkey, round(((p_size % 2 = 0)::INT + CASE WHEN p_partkey % 3 = 0 THEN rap::INT ELSE 0 END) / CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END, 6) AS strength FROM s""")
-def r_performance_similarity(spark, d):
-    rules = [(F.lit(True), (F.col("p_size") % 2 == 0).cast("double")), (F.col("p_partkey") % 3 == 0, F.contains("p_type", F.lit("STEEL")).cast("double"))]
-    return t(spark, d, "part").select("p_partkey", r6(linkage.mean_present(rules)).alias("strength"))
-
-
-@query("""WITH l AS (SELECT p_brand AS query_id, p_partkey AS id, 0 AS list_no, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS rank, p_size / 50.0 AS strength FROM part
-UNION ALL SELECT p_brand, p_partkey, 1, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey), (p_partkey % 10) / 10.0 FROM part)
-SELECT query_id, id, max(strength) AS strength, arg_min(rank + 100 * list_no, (-strength, rank + 100 * list_no)) AS place FROM l WHERE strength >= 0.25 GROUP BY query_id, id""")
-def r_best_strength(spark, d):
-    p = t(spark, d, "part").withColumnsRenamed({"p_brand": "query_id", "p_partkey": "id"})
-    arm = lambda n, order, strength: p.select("query_id", "id", (F.row_number().over(Window.partitionBy("query_id").orderBy(order, "id")) + 100 * n).cast("bigint").alias("place"), strength.alias("strength"))
-    rows = arm(0, "p_size", F.col("p_size") / 50.0).unionByName(arm(1, "p_retailprice", F.col("id") % 10 / 10.0)).where("strength >= 0.25")
-    return rows.groupBy("query_id", "id").agg(F.max("strength").alias("strength"), F.min_by("place", F.struct(-F.col("strength"), F.col("place"))).alias("place"))
-
-
-@query("""SELECT conv_id, string_agg(upper(substr(role, 1, 1)) || ': ' || substr(text, 1, 40), chr(10) ORDER BY turn) AS case_text, count(*) FILTER (role = 'user') < 4 AS may_ask FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, string_agg(upper(substr(role, 1, 1)) || ': ' || text, chr(10) ORDER BY turn, upper(substr(role, 1, 1)) || ': ' || text) AS case_text, count(*) FILTER (role = 'user') < 4 AS may_ask FROM conversations GROUP BY conv_id""")
 def c_case_text_and_limits(spark, d):
-    line = F.concat(F.upper(F.substring("role", 1, 1)), F.lit(": "), F.substring("text", 1, 40))
+    line = F.concat(F.upper(F.substring("role", 1, 1)), F.lit(": "), F.col("text"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"])
     return t(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(lines, "\n").alias("case_text"), (F.count_if(F.col("role") == "user") < 4).alias("may_ask"))
 
 
-@query("SELECT hash_bucket, n_terms FROM (SELECT length(p_name) AS hash_bucket, count(DISTINCT p_name) AS n_terms FROM part GROUP BY 1) WHERE n_terms > 1")
-def b_hash_collisions(spark, d):
-    """Terms that share a key; the key here is a length, so that both engines agree on it."""
-    return t(spark, d, "part").groupBy(F.length("p_name").alias("hash_bucket")).agg(F.count_distinct("p_name").alias("n_terms")).where("n_terms > 1")
-
-
 @query("""WITH d AS (SELECT doc_id, text FROM documents), c AS (SELECT doc_id, unnest(generate_series(0, greatest(length(text) - 1, 0), 400)) AS start, text FROM d)
 SELECT doc_id, start::INT AS start, substr(text, start + 1, 500) AS chunk FROM c""")
 def t_fixed_chunks(spark, d):

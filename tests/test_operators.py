@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,7 +102,9 @@ def test_text_functions(spark):
     assert row(T.era_window(F.lit("nothing"))) is None
     assert row(T.date_key(F.lit("2001년 3월 9일"))) == "2001.03.09"
     assert row(T.base_title(F.lit("(Intro)"))) == "(Intro)"
-    assert row(T.point_id(F.lit("18446744073709551616"))) is None
+    for text in ("18446744073709551616", "x1", "²", ""):
+        assert row(T.point_id(F.lit(text))) == str(uuid.uuid5(uuid.NAMESPACE_URL, text))
+    assert row(T.point_id(F.lit(" 18446744073709551615"))) == "18446744073709551615"
     assert row(T.labelled_passage("passage", [("A", F.lit(None).cast("string"))])) == "passage: EMPTY"
     assert row(T.clean_fact(F.lit("a [1]  b ,c"))) == "a b,c"
     assert row(T.listed(F.lit(" a, b,,a"))) == ["a", "b"]
@@ -136,6 +139,12 @@ def test_streams(spark, tmp_path):
     q = case_states(stream).writeStream.outputMode("update").format("memory").queryName("cases").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {tuple(r) for r in spark.table("cases").collect()} == {(1, 2, "withdrawn", 2.0), (2, 1, "pending", 5.0)}
+    again = [(1, s, sid, a, v, datetime.datetime(2024, 1, 1, 0, s)) for s, sid, a, v in [(1, 7, "submit", 2.0), (2, 7, "submit", 3.0), (3, 8, "submit", 4.0)]]
+    spark.createDataFrame(again, "case_id long, seq long, submission_id long, action string, value double, ts timestamp").write.parquet(str(tmp_path / "again"))
+    replayed = spark.readStream.schema(spark.read.parquet(str(tmp_path / "again")).schema).parquet(str(tmp_path / "again"))
+    q = case_states(replayed).writeStream.outputMode("update").format("memory").queryName("replayed").option("checkpointLocation", str(tmp_path / "ck3")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [tuple(r) for r in spark.table("replayed").collect()] == [(1, 2, "pending", 4.0)]
     counts = windowed_counts(stream.withColumnRenamed("action", "event_type")).writeStream.outputMode("complete").format("memory").queryName("counts").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
     counts.awaitTermination(120)
     assert sorted((r["event_type"], r["n"], r["total"]) for r in spark.table("counts").collect()) == [("submit", 2, 7.0), ("withdraw", 1, 0.0)]
