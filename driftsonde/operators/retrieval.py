@@ -91,7 +91,7 @@ def search(queries: DataFrame, corpus: Corpus, config: Config | None = None, rej
     depth = min(paths.DEEPEST, max(width["fusion"], width["candidates"] + extra))
 
     rows = materialise(rows, "queries")
-    sparse = materialise(bm25.search(rows.select("query_id", F.col("sparse_text").alias("text")), corpus.passages, "query_id", "text", "id", "text", config.tokenizer), "sparse")
+    sparse = bm25.Scores(rows.select("query_id", F.col("sparse_text").alias("text")), corpus.passages, tokenizer=config.tokenizer)
     text = vectors.hybrid_topk(rows.select("query_id", F.col("text_vector").alias("query"), "text_alpha"), corpus.text_vectors, sparse, "text_alpha", depth)
     lists = [text.select("query_id", F.lit("text").alias("path"), "id", "rank"), _dense(rows, "use_image", "image_vector", corpus.image_vectors, depth, "image"), _dense(rows, "use_audio", "audio_vector", corpus.audio_vectors, depth, "audio")]
     weights = rows.select("query_id", F.explode(F.create_map(*(x for p in ("text", "image", "audio") for x in (F.lit(p), F.col(p))))).alias("path", "weight"))

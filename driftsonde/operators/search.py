@@ -52,16 +52,41 @@ def dense_scores(queries: DataFrame, corpus: DataFrame, measure=dot, most_querie
     return pairs.select("q.query_id", "id", measure(F.col("q.query"), F.col("vector")).alias("score"))
 
 
-class _Best:
-    """A block of queries and the k best rows seen of each, best first; ties go to the smaller id."""
+class Best:
+    """The k best rows seen so far of each of some queries, best first; ties go to the smaller id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.score = np.full((queries, k), -np.inf)
+        self.found = np.full((queries, k), np.iinfo(np.int64).max)
+
+    def merge(self, begin: int, ids: np.ndarray, score: np.ndarray) -> None:
+        """Scores of the queries from `begin` on (rows) for the ids (columns); minus infinity is none."""
+        part = slice(begin, begin + len(score))
+        rows = np.flatnonzero((score > -np.inf).any(1) & (score.max(1, initial=-np.inf) >= self.score[part, -1]))
+        if not len(rows):
+            return
+        every = np.concatenate([self.score[part][rows], score[rows]], 1)
+        known = np.concatenate([self.found[part][rows], np.where(np.isneginf(score[rows]), np.iinfo(np.int64).max, ids[None, :])], 1)
+        order = np.lexsort((known, -every), axis=1)[:, : self.k]
+        self.score[begin + rows] = np.take_along_axis(every, order, 1)
+        self.found[begin + rows] = np.take_along_axis(known, order, 1)
+
+    def columns(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score) of all that is held."""
+        held = ~np.isneginf(self.score)
+        return np.repeat(queries, held.sum(1)), self.found[held], self.score[held]
+
+
+class _Block:
+    """A block of queries that rows are streamed past."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, least: float | None):
         self.ids, self.vectors, self.k, self.least = ids, vectors, k, least
         self.reset()
 
     def reset(self) -> None:
-        self.score = np.full((len(self.ids), self.k), -np.inf)
-        self.found = np.full((len(self.ids), self.k), np.iinfo(np.int64).max)
+        self.best = Best(len(self.ids), self.k)
 
     def take(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         for begin in range(0, len(self.ids), TILE):
@@ -71,20 +96,11 @@ class _Best:
             if self.least is not None:
                 drop |= score < self.least
             score[drop] = -np.inf
-            rows = np.flatnonzero((score > -np.inf).any(1) & (score.max(1) >= self.score[part, -1]))
-            if not len(rows):
-                continue
-            every = np.concatenate([self.score[part][rows], score[rows]], 1)
-            known = np.concatenate([self.found[part][rows], np.where(np.isneginf(score[rows]), np.iinfo(np.int64).max, ids[None, :])], 1)
-            order = np.lexsort((known, -every), axis=1)[:, : self.k]
-            self.score[begin + rows] = np.take_along_axis(every, order, 1)
-            self.found[begin + rows] = np.take_along_axis(known, order, 1)
+            self.best.merge(begin, ids, score)
 
     def rows(self, by: object) -> pa.RecordBatch:
-        held = ~np.isneginf(self.score)
-        n = held.sum(1)
-        columns = [pa.array(np.repeat(self.ids, n)), pa.array([by] * int(n.sum()), pa.string()), pa.array(self.found[held]), pa.array(self.score[held])]
-        return pa.RecordBatch.from_arrays(columns, names=["query_id", "by", "id", "score"])
+        query, found, score = self.best.columns(self.ids)
+        return pa.RecordBatch.from_arrays([pa.array(query), pa.array([by] * len(query), pa.string()), pa.array(found), pa.array(score)], names=["query_id", "by", "id", "score"])
 
 
 #: Queries and corpus rows multiplied at once.
@@ -121,7 +137,7 @@ def _stream(k: int, least: float | None, unit: bool):
                 if best is None:
                     if not held:
                         continue
-                    best, by = _Best(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), k, least), keys[a][4]
+                    best, by = _Block(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), k, least), keys[a][4]
                 if keys[a][4] != by:
                     yield best.rows(by)
                     best.reset()
@@ -185,13 +201,16 @@ def hybrid_sum(dense: DataFrame, sparse: DataFrame, alpha: float) -> DataFrame:
     return both.groupBy("query_id", "id").agg((F.coalesce(F.sum("d"), F.lit(0.0)) + F.coalesce(F.sum("s"), F.lit(0.0))).alias("score"))
 
 
-def hybrid_topk(queries: DataFrame, corpus: DataFrame, sparse: DataFrame, alpha: float | str, k: int) -> DataFrame:
+def hybrid_topk(queries: DataFrame, corpus: DataFrame, sparse, alpha: float | str, k: int) -> DataFrame:
     """(query_id, id, score, rank): the k best of alpha * dense + (1 - alpha) * sparse over all of both sides, a missing side adding nothing.
 
-    alpha is a number or a column of the queries (query_id, query). Exact without all pairs. A row without a sparse score
-    (none below 0) can only be among the k best by dense score. Of the others only those are scored whose sparse share and
-    the query's best dense score reach the k-th best of the rows known by then: the k best of either side.
+    alpha is a number or a column of the queries (query_id, query). sparse: rows (query_id, id, score), or what makes them,
+    a `bm25.Scores`. Exact without all pairs. A row without a sparse score (none below 0) can only be among the k best by
+    dense score. Of the others only those are scored whose sparse share and the query's best dense score reach the k-th
+    best of the rows known by then: the k best of either side.
     """
+    if isinstance(sparse, DataFrame):
+        sparse = Listed(sparse)
     share = F.col(alpha) if isinstance(alpha, str) else F.lit(alpha)
     vectors, asked = corpus.select("id", "vector"), queries.select("query_id", "query", share.cast("double").alias("_alpha"))
     near = materialise(dense_topk(asked.select("query_id", "query"), vectors, k), "near")
@@ -202,17 +221,33 @@ def hybrid_topk(queries: DataFrame, corpus: DataFrame, sparse: DataFrame, alpha:
         """(query_id, id, s) with their dense scores."""
         there = pairs.join(asked, "query_id").join(vectors, "id", "left")
         dense = F.when(F.col("query_id") != F.col("id"), dot(F.col("query"), F.col("vector")))
-        return there.select("query_id", "id", (F.coalesce(dense, F.lit(0.0)) * a + F.coalesce("s", F.lit(0.0)) * (1 - a)).alias("score"))
+        return there.select("query_id", "id", "s", (F.coalesce(dense, F.lit(0.0)) * a + F.coalesce("s", F.lit(0.0)) * (1 - a)).alias("score"))
 
-    listed = sparse.select("query_id", "id", F.col("score").alias("s"))
-    best = top_k(sparse, k).select("query_id", "id", F.col("score").alias("s"))
-    first = best.unionByName(near.select("query_id", "id").join(best, ["query_id", "id"], "left_anti").join(listed, ["query_id", "id"], "left"))
-    first = materialise(fused(first), "first")
+    best = materialise(sparse.top(k).select("query_id", "id", F.col("score").alias("s")), "best")
+    # A row near by vector has at least its dense share; its sparse score, if any, comes with the rest.
+    first = materialise(fused(best.unionByName(near.select("query_id", "id", F.lit(None).cast("double").alias("s")).join(best.select("query_id", "id"), ["query_id", "id"], "left_anti"))), "first")
     bar = top_k(first, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("_bar"))
-    rest = listed.join(top, "query_id", "left").join(bar, "query_id").join(asked.select("query_id", "_alpha"), "query_id")
-    rest = rest.where(F.col("s") * (1 - a) + F.coalesce("_most", F.lit(0.0)) * a >= F.col("_bar") - 1e-12)
-    more = fused(rest.select("query_id", "id", "s").join(first.select("query_id", "id"), ["query_id", "id"], "left_anti"))
-    return top_k(first.unionByName(more), k)
+    needed = asked.select("query_id", "_alpha").join(bar, "query_id", "left").join(top, "query_id", "left")
+    reach = (F.col("_bar") - 1e-9 - a * F.coalesce("_most", F.lit(0.0))) / (1 - a)
+    needed = needed.select("query_id", F.when(a < 1, F.coalesce(reach, F.lit(float("-inf")))).otherwise(F.lit(float("-inf"))).alias("bar"))
+    rest = sparse.above(needed).select("query_id", "id", F.col("score").alias("s"))
+    more = fused(rest)
+    every = first.select("query_id", "id", "score").unionByName(more.select("query_id", "id", "score"))
+    return top_k(every.groupBy("query_id", "id").agg(F.max("score").alias("score")), k)
+
+
+class Listed:
+    """Sparse scores that are there as rows (query_id, id, score)."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def top(self, k: int) -> DataFrame:
+        return top_k(self.rows, k).drop("rank")
+
+    def above(self, bars: DataFrame) -> DataFrame:
+        """Rows of at least the bar of their query (query_id, bar)."""
+        return self.rows.join(bars, "query_id").where("score >= bar").drop("bar")
 
 
 def mean_vector(vectors: DataFrame, column: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,28 +53,30 @@ class Phrases:
             for g in self.grams[i]:
                 self.by_gram.setdefault(g, []).append(i)
         self.starts = sorted({len(g) for g in self.by_start})
+        self.owners = {g: np.array(x) for g, x in self.by_gram.items()}
+        self.sizes = np.array([len(g) for g in self.grams])
 
     def within(self, text: str) -> list[int]:
-        """Phrases that the text holds."""
+        """Phrases that the text holds: looked for where their first characters stand."""
         found: set[int] = set()
         for size in self.starts:
-            starts = {text[i : i + size] for i in range(len(text) - size + 1)}
-            for g in starts & self.by_start.keys() if len(starts) > len(self.by_start) else (g for g in starts if g in self.by_start):
-                found.update(i for i in self.by_start[g] if self.rows[i][1] in text)
+            for at in range(len(text) - size + 1):
+                for i in self.by_start.get(text[at : at + size], ()):
+                    if i not in found and text.startswith(self.rows[i][1], at):
+                        found.add(i)
         return sorted(found)
 
     def near(self, text: str, least_cover: float, least: float) -> list[tuple[int, float]]:
         """Phrases whose fuzzy score in the text is at least `least`, with it."""
-        hits: dict[int, int] = {}
-        for g in {text[i : i + 3] for i in range(len(text) - 2)} or {text}:
-            for i in self.by_gram.get(g, ()):
-                hits[i] = hits.get(i, 0) + 1
+        lists = [x for g in {text[i : i + 3] for i in range(len(text) - 2)} or {text} if (x := self.owners.get(g)) is not None]
+        if not lists:
+            return []
+        cover = np.bincount(np.concatenate(lists), minlength=len(self.sizes)) / self.sizes
         out = []
-        for i, n in sorted(hits.items()):
+        for i in np.flatnonzero((cover >= least_cover) & (0.65 * cover + 0.35 >= least)).tolist():
             phrase = self.rows[i][1]
-            cover = n / len(self.grams[i])
-            if len(phrase) >= 5 and cover >= least_cover and 0.65 * cover + 0.35 >= least:
-                score = 0.65 * cover + 0.35 * common_length(phrase, text) / len(phrase)
+            if len(phrase) >= 5:
+                score = 0.65 * float(cover[i]) + 0.35 * common_length(phrase, text) / len(phrase)
                 if score >= least:
                     out.append((i, score))
         return out

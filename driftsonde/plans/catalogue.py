@@ -155,12 +155,12 @@ sc AS (SELECT query_id, id, sum(qw * tf / (1.2 * (0.25 + 0.75 * dl / avgdl) + tf
 
 
 def _bm25(spark, d):
-    return bm25.search(t(spark, d, "benchmark"), t(spark, d, "documents"), "item_id", "text", "doc_id", "text")
+    return bm25.Scores(t(spark, d, "benchmark"), t(spark, d, "documents"), "item_id", "text", "doc_id", "text")
 
 
 @query(f"WITH {_BM25_SQL} SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id)::INT AS rank FROM sc QUALIFY rank <= 10")
 def b_bm25_topk(spark, d):
-    return search.top_k(_bm25(spark, d).withColumn("score", F.round("score", 9)), 10).withColumn("score", r6("score"))
+    return search.top_k(_bm25(spark, d).top(12).withColumn("score", F.round("score", 9)), 10).withColumn("score", r6("score"))
 
 
 @query(f"""WITH d AS (SELECT doc_id AS id, {_TOKENS} AS ts FROM documents), p AS (SELECT DISTINCT id, unnest(ts) AS term FROM d), f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
