@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from driftsonde.functions.unicode import surface_of
+from driftsonde.sources.steps import spread
 
 
 def surface(text: Column) -> Column:
@@ -109,7 +110,7 @@ def _by_blocks(phrases: DataFrame, docs: DataFrame, work: Callable[[Phrases, str
                 ids, owners, scores = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_pydict({"phrase_id": list(owners), "id": list(ids), "score": list(scores)}, schema=pa.schema([("phrase_id", types[0]), ("id", types[1]), ("score", pa.float64())]))
 
-        return docs.select("id", "text").mapInArrow(run, f"phrase_id {owner}, id {kind}, score double")
+        return spread(docs.select("id", "text")).mapInArrow(run, f"phrase_id {owner}, id {kind}, score double")
 
     types = [to_arrow_type(phrases.schema["phrase_id"].dataType), to_arrow_type(docs.schema["id"].dataType)]
     return reduce(DataFrame.unionByName, [over(rows[i : i + block]) for i in range(0, max(1, len(rows)), block)])
@@ -142,7 +143,7 @@ def surface_frequency(words: DataFrame, docs: DataFrame, block: int = 100_000) -
                     counts.update(index.within(text.lower()) if text else ())
             yield pa.RecordBatch.from_arrays([pa.array([part[i] for i in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
 
-        return docs.select("text").mapInArrow(run, "term string, n bigint")
+        return spread(docs.select("text")).mapInArrow(run, "term string, n bigint")
 
     found = reduce(DataFrame.unionByName, [over(rows[i : i + block]) for i in range(0, max(1, len(rows)), block)])
     return found.groupBy("term").agg(F.sum("n").alias("df"))

@@ -21,3 +21,13 @@ def materialise(rows: DataFrame, name: str) -> DataFrame:
     path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` over as many partitions as there are cores, where they are read from fewer files than that and would all fit them; larger tables stay as they are read."""
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if rows.isStreaming or len(rows.inputFiles()) >= cores:
+        return rows
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * 128 * 2**20 else rows
