@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,5 +150,54 @@ def document_text(fields: list[tuple[str, Column]], most: int = 1200) -> Column:
     return F.substring(F.concat_ws("\n", *lines), 1, most)
 
 
-def any_of(flags: list[Column]) -> Column:
-    return reduce(Column.__or__, flags, F.lit(False))
+def collection_name(index: Column, space: Column) -> Column:
+    return F.concat_ws("__", index, space)
+
+
+def ttl_state(indexes: DataFrame) -> DataFrame:
+    """One row: ready, wrong_seconds, not_ttl or missing, of the indexes (keys: array, seconds) that are on the expiry alone."""
+    own = F.col("keys") == F.array(F.lit("expires_at"))
+    rank = F.when(~own, 0).when(F.col("seconds").isNull(), 1).when(F.col("seconds") == 0, 3).otherwise(2)
+    best = indexes.agg(F.coalesce(F.max(rank), F.lit(0)).alias("r"))
+    return best.select(F.element_at(F.array(*map(F.lit, ("missing", "not_ttl", "wrong_seconds", "ready"))), F.col("r") + 1).alias("state"))
+
+
+def reuse_or_fit(corpus: DataFrame, digest_before: tuple[int, int] | None) -> tuple[bool, tuple[int, int]]:
+    """Whether what was fitted on a corpus of that digest can stay, and the corpus's digest now: any change asks for a new fit."""
+    from driftsonde.sources.records import content_digest
+
+    now = content_digest(corpus)
+    return now == digest_before, now
+
+
+def blank_without_evidence(rows: DataFrame, fields: list[str], evidence: str, least: int = 1) -> DataFrame:
+    """Fields that only evidence could fill are emptied where there is less of it than `least`."""
+    return rows.withColumns({c: F.when(F.coalesce(F.col(evidence), F.lit(0)) >= least, F.col(c)) for c in fields})
+
+
+def plane(vectors: DataFrame, id_column: str, column: str, rounds: int = 30) -> DataFrame:
+    """(id, x, y): places on the two main axes of the vectors, by power iteration on their covariance (a row a component, whatever the number of vectors).
+
+    Stands for a neighbour map, which has no distributed form here. Signs are such that each axis's largest part is positive.
+    """
+    import numpy as np
+
+    size = vectors.select(F.size(column)).first()[0]
+    cells = vectors.select(F.posexplode(column).alias("i", "a"), F.col(column).alias("v"))
+    sums = cells.select("i", F.col("a").cast("double").alias("a"), F.posexplode("v").alias("j", "b")).where("j >= i").groupBy("i", "j").agg(F.avg(F.col("a") * F.col("b").cast("double")).alias("c")).collect()
+    mean = np.array([r["m"] for r in cells.groupBy("i").agg(F.avg(F.col("a").cast("double")).alias("m")).orderBy("i").collect()])
+    spread = np.zeros((size, size))
+    for r in sums:
+        spread[r["i"], r["j"]] = spread[r["j"], r["i"]] = r["c"]
+    spread -= np.outer(mean, mean)
+    axes = []
+    for k in range(2):
+        v = np.ones(size) / np.sqrt(size) + np.arange(size) * 1e-3 * (k + 1)
+        for _ in range(rounds):
+            v = spread @ v
+            for u in axes:
+                v -= u * (u @ v)
+            v /= np.linalg.norm(v) or 1.0
+        axes.append(v * np.sign(v[np.argmax(np.abs(v))] or 1.0))
+    at = lambda axis: F.aggregate(F.zip_with(F.col(column), F.array(*map(F.lit, axis.tolist())), lambda x, w: x.cast("double") * w), F.lit(0.0), lambda acc, x: acc + x) - float(mean @ axis)
+    return vectors.select(id_column, at(axes[0]).alias("x"), at(axes[1]).alias("y"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from driftsonde.functions import linking, segments
+from driftsonde.functions import clues, linking, segments
 from driftsonde.functions import text as T
 from driftsonde.functions.unicode import excerpt, identity_key
 from driftsonde.operators import clarify, ledgers, reviews, works
@@ -155,6 +155,15 @@ def l_media_names(spark, d):
     return t(spark, d, "events").select("event_id", segments.media_named(name, text).alias("named"))
 
 
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN ['verbatim:1.0:너를 사랑해'] WHEN 1 THEN ['partial:0.92:너를 사랑해도 되겠니'] WHEN 2 THEN ['partial:0.9:눈이 내려와', 'partial:0.82:눈이 내려와라는'] ELSE [] END AS clues,
+CASE event_id % 5 WHEN 0 THEN '여성' WHEN 3 THEN '혼성' END AS voice, CASE event_id % 5 WHEN 1 THEN '발라드' WHEN 3 THEN '록' END AS genre FROM events""")
+def l_clue_extraction(spark, d):
+    m = F.col("event_id") % 5
+    said = F.when(m == 0, "여자 가수 노래인데 가사에 “너를 사랑해”가 있어").when(m == 1, "발라드 곡, 가사에 너를 사랑해도 되겠니 라는 말이 있었어").when(m == 2, "눈이 내려와라는 가사가 나오는 곡").when(m == 3, "남자 보컬이랑 여자 보컬, 락 음악").otherwise("재즈인지 모르겠고 남자 친구 얘기 '제목'")
+    out = t(spark, d, "events").select("event_id", clues.lyric_clues(said).alias("c"), clues.slot_statements(said).alias("s"))
+    return out.select("event_id", F.transform("c", lambda x: F.concat_ws(":", x["kind"], x["confidence"].cast("string"), x["text"])).alias("clues"), "s.voice", "s.genre")
+
+
 # Works --------------------------------------------------------------------------------------------------------------------
 
 

@@ -333,3 +333,19 @@ def test_hash_collisions(spark):
 def test_query_digests_ignore_spacing(spark):
     rows = spark.createDataFrame([(" a  b ",), ("a b",)], "q string")
     assert len({r[0] for r in rows.select(works.query_key(F.col("q"))).collect()}) == 1
+
+
+def test_reuse_expiry_indexes_and_main_axes(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, t string")
+    same, digest = ledgers.reuse_or_fit(rows, None)
+    assert not same and ledgers.reuse_or_fit(rows.repartition(3), digest)[0] and not ledgers.reuse_or_fit(rows.limit(1), digest)[0]
+    state = lambda *x: ledgers.ttl_state(spark.createDataFrame(list(x), "keys array<string>, seconds int")).first()["state"]
+    assert [state((["a"], 0)), state((["expires_at"], None)), state((["expires_at"], 5)), state((["expires_at"], 5), (["expires_at"], 0))] == ["missing", "not_ttl", "wrong_seconds", "ready"]
+    assert ledgers.blank_without_evidence(rows, ["t"], "id", 2).collect() == [(1, None), (2, "b")]
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((300, 5)) * [5, 1, 3, 0.5, 0.1] + 7
+    got = {r["id"]: (r["x"], r["y"]) for r in ledgers.plane(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>"), "id", "v").collect()}
+    _, axes = np.linalg.eigh(np.cov(x.T))
+    for k in (0, 1):
+        want = (x - x.mean(0)) @ axes[:, -1 - k]
+        assert abs(np.corrcoef(want, [got[i][k] for i in range(300)])[0, 1]) > 0.999
