@@ -346,7 +346,7 @@ def test_a_tree_of_matrices_gives_the_states_of_a_walk():
 
 
 def test_long_texts_of_the_tables_take_the_scan(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 16384")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("length(text) > 65536")
     assert docs.count() > 0
     got = {r["doc_id"]: r for r in piece_codec.encode_docs(docs, tokenizer_path("piece_bpe_32k.model")).collect()}
     codec = piece_codec.PieceCodec(tokenizer_path("piece_bpe_32k.model"))

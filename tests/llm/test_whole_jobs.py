@@ -64,3 +64,48 @@ def test_embeddings_link_whatever_lies_between(spark):
     for most in (300, 2048):
         got = {r["vec_id"]: r for r in embed_dedup.embedding_groups(table, passes=1, window=2, most=most).collect()}
         assert [(got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) for i in range(4000)] == [(near[i].sum(), forest.find(i), forest.find(i) == i) for i in range(4000)]
+
+
+def planted(rnd, line, kind, vocabulary):
+    """A line near another one: words replaced (one, or up to a share of its characters), or single characters."""
+    words = line.split()
+    if kind == "one word":
+        words[rnd.randrange(len(words))] = rnd.choice(vocabulary)
+        return " ".join(words)
+    share = float(kind.split()[1])
+    if kind.startswith("characters"):
+        chars = list(line)
+        for at in rnd.sample(range(len(chars)), int(share * len(chars))):
+            chars[at] = rnd.choice("abcdefghijkl")
+        return line_dedup.normalise("".join(chars))
+    left = share * len(line)
+    for at in rnd.sample(range(len(words)), len(words)):
+        word = rnd.choice(vocabulary)
+        left -= max(len(words[at]), len(word))
+        if left < 0:
+            break
+        words[at] = word
+    return " ".join(words)
+
+
+def candidate_share(lines, near):
+    """Share of pairs that share a key and pass the wide filter."""
+    sims, keys = line_dedup.line_sketches([x.encode() for x in lines + near], np.arange(2 * len(lines), dtype=np.uint64), True)
+    n = len(lines)
+    size = np.array([len(x) for x in lines + near])
+    fit = line_dedup._near(sims[:n], size[:n], sims[n:], size[n:], (line_dedup.WIDE, line_dedup.NARROW), 0.8)
+    return float(np.mean([f and bool(np.intersect1d(a, b).size) for f, a, b in zip(fit.tolist(), keys[:n], keys[n:], strict=True)]))
+
+
+def test_near_lines_are_candidates_whatever_their_length():
+    import pyarrow.parquet as pq
+
+    rnd = random.Random(4)
+    lines = sorted({line_dedup.normalise(x) for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist() for x in (t or "").split("\n")})
+    vocabulary = [w for x in rnd.sample(lines, 1000) for w in x.split()]
+    for low, high in ((16, 40), (40, 80), (80, 128), (128, 300), (300, 800), (800, 9000)):
+        pool = [x for x in lines if low <= len(x) < high and len(x.split()) > 2]
+        for kind, least in (("one word", 0.85 if high == 40 else 0.95), ("words 0.1", 0.9), ("words 0.18", 0.85)):
+            pairs = [(x, y) for x in rnd.sample(pool, min(300, len(pool))) if (y := planted(rnd, x, kind, vocabulary)) != x and line_dedup.similar(x, y, 0.8)]
+            if len(pairs) > 30:
+                assert candidate_share(*map(list, zip(*pairs, strict=True))) >= least, (low, kind)
