@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -10,14 +11,15 @@ from pyspark.sql import DataFrame
 def materialise(rows: DataFrame, name: str) -> DataFrame:
     """`rows` as a table in the shared folder (spark.checkpoint.dir), read back: what is used several times is computed once, and lost executors cost nothing before it.
 
-    A session of one machine without that setting keeps its plan as it is; elsewhere its absence raises.
+    A session of one machine without that setting makes a folder of its own; elsewhere its absence raises.
     """
     spark = rows.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        return rows
+        at = "file://" + tempfile.mkdtemp(prefix="driftsonde-")
+        spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
