@@ -8,11 +8,13 @@ hamming + 2 blocks, of which links share two, and nothing that meets both is mis
 alone counts; candidates are those that share a MinHash band, are of lengths that permit the similarity and whose
 SimHashes differ in at most WIDE bits (NARROW, if one of them is long), which finds most links, not all.
 
-Candidates of a key are all near pairs among its first PAIRED members in the order of their SimHashes; any further one is
-compared with the CHAIN before it. Members of keys that more than PAIRED share are dealt once more over keys that hold a
-byte of their SimHash besides, and compared there in the same way, so that a key that much of the table shares costs what
-its members cost. Pairs are verified star by star, nearest first, where they aren't connected yet. Of each connected group
-the occurrence of the smallest (id, line number) stays.
+Candidates of a key are all near pairs. Up to PAIRED members give them as pairs. Of keys that more share, a first pass
+compares the first PAIRED members in the order of their SimHashes, and any further one with the CHAIN before it. What
+that leaves apart is then compared to the end: members of such keys that aren't connected yet meet in tiles of two
+chunks, with their lines, a pair in the least of its keys alone, and a tile gives links and no pairs. Its rows grow with a
+key's members, and beyond TILE of them with their square over TILE. Pairs of the first pass are verified star by star,
+nearest first, where they aren't connected yet. Of each connected group the occurrence of the smallest (id, line number)
+stays.
 
 Null texts stay null; empty texts stay empty. Rows that share an id keep the lines of that id's first occurrences
 each. Repeated rows lose what an earlier id holds. Rows without an id keep all their lines, which count for nothing.
@@ -28,16 +30,23 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftsonde.llm.arrays import byte_words, durable, map_batches, mix64, text_chunks
-from driftsonde.llm.graphs import Forest, connected_components, map_groups
+from driftsonde.llm.graphs import Forest, connected_components, map_groups, tiles
 
 #: Rows (16 bytes each) up to which positions of lines are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Members of one key up to which all pairs are compared, and predecessors that any further one is compared with.
+#: Members of one key up to which all pairs are compared at once, and predecessors that any further one is compared with first.
 PAIRED, CHAIN = 32, 2
+#: Members in a chunk of a larger key, and candidates of a tile held at once.
+TILE, HELD = 1024, 65_536
+#: Pairs for each word of 64 characters from which edit distances are computed together, pairs at a time, most words, bytes of their table.
+TOGETHER, SLICE, WORDS, TABLE = 32, 4096, 32, 1 << 26
+#: Lengths of character runs whose counts bound distances, and bits of their hashes.
+RUNS = ((1, 6), (2, 9))
 #: Features by a line's bytes: runs of five bytes up to SHORT and up to LONG, word pairs from three quarters of LONG on.
 SHORT, LONG = 48, 128
 #: MinHashes a key and keys a line: for the shortest lines, for short ones, for word pairs.
@@ -215,13 +224,105 @@ def within(a: str, b: str, limit: int) -> bool:
         i, j = i + step, at
 
 
+def _limit(longer: int, similarity: float) -> int:
+    """The most edits that leave lines similar."""
+    limit = int(longer - similarity * longer)
+    return limit + (longer - (limit + 1) >= similarity * longer)  # as the comparison of similarities rounds
+
+
+def near_walk(a: str, b: str, similarity: float) -> bool:
+    """Whether a plain walk from either end shows the lines to be similar."""
+    longer = max(len(a), len(b))
+    limit = _limit(longer, similarity)
+    return min(len(a), len(b)) >= similarity * longer and (within(a, b, limit) or within(a[::-1], b[::-1], limit))
+
+
 def similar(a: str, b: str, similarity: float) -> bool:
     longer = max(len(a), len(b))
     if min(len(a), len(b)) < similarity * longer:
         return False
-    limit = int(longer - similarity * longer)
-    limit += longer - (limit + 1) >= similarity * longer  # as the comparison below rounds
-    return within(a, b, limit) or within(a[::-1], b[::-1], limit) or longer - edit_distance(a, b, limit) >= similarity * longer
+    return near_walk(a, b, similarity) or longer - edit_distance(a, b, _limit(longer, similarity)) >= similarity * longer
+
+
+def _columns(codes: np.ndarray, starts: np.ndarray, size: np.ndarray, letters: int, a: np.ndarray, b: np.ndarray, words: int) -> np.ndarray:
+    """Levenshtein distances of pairs whose shorter line a has that many words of 64 characters: Myers' columns, each for all pairs."""
+    order = np.argsort(-size[b], kind="stable")
+    a, b = a[order], b[order]
+    patterns, row = np.unique(a, return_inverse=True)
+    many = size[patterns]
+    inner = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    table = np.zeros((len(patterns), letters, words), np.uint64)
+    np.add.at(table, (np.repeat(np.arange(len(patterns)), many), codes[np.repeat(starts[patterns], many) + inner], inner >> 6), np.uint64(1) << (inner & 63).astype(np.uint64))
+    one, last = np.uint64(1), np.uint64(63)
+    pv, mv = np.full((words, len(a)), ~np.uint64(0)), np.zeros((words, len(a)), np.uint64)
+    score, top, begin = size[a].astype(np.int64), ((size[a] - 1) & 63).astype(np.uint64), starts[b]
+    for j, k in enumerate(np.searchsorted(-size[b], -np.arange(int(size[b[0]]))).tolist()):
+        equal = table[row[:k], codes[begin[:k] + j]]
+        up, down = one, np.uint64(0)
+        for w in range(words):
+            p, m, eq = pv[w, :k], mv[w, :k], equal[:, w]
+            xv, eq = eq | m, eq | down
+            xh = (eq & p) + p ^ p | eq
+            ph, mh = m | ~(xh | p), p & xh
+            if w == words - 1:
+                score[:k] += (ph >> top[:k] & one).astype(np.int64) - (mh >> top[:k] & one).astype(np.int64)
+            ph, mh, up, down = ph << one | up, mh << one | down, ph >> last, mh >> last
+            pv[w, :k], mv[w, :k] = mh | ~(xv | ph), ph & xv
+    out = np.empty(len(a), np.int64)
+    out[order] = score
+    return out
+
+
+def _counts(codes: np.ndarray, size: np.ndarray, q: int, bits: int) -> np.ndarray:
+    """How often each line has runs of q characters, by hash."""
+    owner = np.repeat(np.arange(len(size)), size)
+    with np.errstate(over="ignore"):
+        runs = sum(codes[i : len(codes) - q + 1 + i].astype(np.uint64) * _MULTIPLIERS[i] for i in range(q)) * np.uint64(0x9E3779B97F4A7C15)
+    whole = owner[: len(runs)] == owner[q - 1 :]
+    at = owner[: len(runs)][whole] << bits | (runs[whole] >> np.uint64(64 - bits)).astype(np.int64)
+    return np.bincount(at, minlength=len(size) << bits).reshape(len(size), 1 << bits).astype(np.uint16 if size.max() < 1 << 16 else np.int32)
+
+
+def _apart(codes: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether lines share so few runs of characters that they can't be similar, as an edit changes at most q runs of q."""
+    out, longer = np.zeros(len(a), bool), size[b]
+    most = np.floor(longer - similarity * longer).astype(np.int64) + 1
+    for q, bits in RUNS:
+        if len(codes) < q:
+            continue
+        counts = _counts(codes, size, q, bits)
+        for i in range(0, len(a), SLICE):
+            both = np.minimum(counts[a[i : i + SLICE]], counts[b[i : i + SLICE]]).sum(1, dtype=np.int64)
+            out[i : i + SLICE] |= both < longer[i : i + SLICE] - q + 1 - q * most[i : i + SLICE]
+    return out
+
+
+def similar_pairs(lines: list[str], a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether each pair of lines, given by their places, is similar; what makes too few pairs or too large a table goes one by one."""
+    out = np.zeros(len(a), bool)
+    used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    own = [lines[i] for i in used.tolist()]
+    size = np.array([len(x) for x in own], np.int64)
+    alphabet, codes = np.unique(np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    starts = np.cumsum(size) - size
+    a, b = at[: len(a)], at[len(a) :]
+    swap = size[a] > size[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    words = -(-size[a] // 64)
+    fit = size[a] >= similarity * size[b]
+    if len(a) >= TOGETHER:
+        fit &= ~_apart(codes, size, a, b, similarity)
+    for w in np.unique(words[fit]).tolist():
+        of = np.flatnonzero(fit & (words == w))
+        most = min(SLICE, TABLE // max(1, 8 * w * len(alphabet)))
+        for i in range(0, len(of), max(1, most)):
+            part = of[i : i + max(1, most)]
+            if len(part) < TOGETHER * w or not 0 < w <= WORDS:
+                out[part] = [similar(own[x], own[y], similarity) for x, y in zip(a[part].tolist(), b[part].tolist(), strict=True)]
+            else:
+                longer = size[b[part]]
+                out[part] = longer - _columns(codes, starts, size, len(alphabet), a[part], b[part], w) >= similarity * longer
+    return out
 
 
 def line_table(docs: DataFrame, id_column: str, text_column: str, min_chars: int, banded: bool = False) -> DataFrame:
@@ -284,11 +385,6 @@ def block_keys(sim: Column, hamming: int) -> Column:
     return F.explode(F.array(*(F.xxhash64(sim.bitwiseAND(F.lit(m)), F.lit(i)) for i, m in enumerate(signed))))
 
 
-def _bytes(sim: Column, key: Column) -> Column:
-    """A key for every byte of the SimHash, besides a key."""
-    return F.array(*(F.xxhash64(key, F.lit(i), F.shiftrightunsigned(sim, 8 * i).bitwiseAND(F.lit(255))) for i in range(8)))
-
-
 def _lengths(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     """Whether lines of these lengths can be similar."""
     return np.minimum(a, b) >= similarity * np.maximum(a, b)
@@ -370,22 +466,104 @@ def _links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     rows = lines.unionByName(dealt.select("star", "differ", "a", "b", F.lit(None).cast("string").alias("line")))
 
     def work(groups: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
+        a, b, lines, nodes, open_pairs = [], [], [], [], []
         for g in groups:
             first, second, said = g.column("a").to_pylist(), g.column("b").to_pylist(), g.column("line").to_pylist()
             text = {x: t for x, y, t in zip(first, second, said, strict=True) if y is None}
             place = {x: i for i, x in enumerate(text)}
-            forest = Forest(len(place))
+            forest, left = Forest(len(place)), []
             for x, y in zip(first, second, strict=True):
-                if y is not None and x in place and y in place and forest.find(place[x]) != forest.find(place[y]) and similar(text[x], text[y], similarity):
-                    forest.union(place[x], place[y])
-                    a.append(x)
-                    b.append(y)
+                if y is not None and x in place and y in place and forest.find(place[x]) != forest.find(place[y]):
+                    if near_walk(text[x], text[y], similarity):
+                        forest.union(place[x], place[y])
+                        a.append(x)
+                        b.append(y)
+                    else:
+                        left.append((len(lines) + place[x], len(lines) + place[y]))
+            open_pairs += [(x, y) for x, y in left if forest.find(x - len(lines)) != forest.find(y - len(lines))]
+            lines += text.values()
+            nodes += place
+        if open_pairs:
+            x, y = np.array(open_pairs, np.int64).T
+            good = similar_pairs(lines, x, y, similarity)
+            a += [nodes[i] for i in x[good].tolist()]
+            b += [nodes[i] for i in y[good].tolist()]
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return map_groups(rows, ["star"], work, "a bigint, b bigint", within=["differ"], ranged=False)
 
 
+def _rest(large: DataFrame, linked: DataFrame, texts: DataFrame, bits: tuple[int, int], similarity: float) -> DataFrame:
+    """Links (a, b) between components, or classes of none, that connect what all near pairs within large keys would: `large` (block_key, node, sim, n), `linked` (node, component)."""
+    members = large.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parted = members.groupBy("block_key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("block_key")
+    members = durable(members.join(parted, "block_key"), "members")
+    keys = members.groupBy("node").agg(F.collect_list("block_key").alias("keys"))
+    dealt = tiles(members, block="block_key", most=TILE).join(keys, "node").join(texts, "node")
+
+    def work(groups: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for g in groups:
+            for x, y in _tile_links(g, bits, similarity):
+                a.append(x)
+                b.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return map_groups(dealt.drop("node"), ["block_key", "tile_i", "tile_j"], work, "a bigint, b bigint", ranged=False)
+
+
+def _shared(keys: pa.Array, own: int) -> np.ndarray:
+    """For each member, the keys below `own` as bits of 64-bit words."""
+    values, sizes = keys.flatten().to_numpy(), pc.list_value_length(keys).to_numpy()
+    below = values < own
+    place, at = np.unique(values[below], return_inverse=True)
+    out = np.zeros((len(sizes), max(1, -(-len(place) // 64))), np.uint64)
+    np.bitwise_or.at(out, (np.repeat(np.arange(len(sizes)), sizes)[below], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    return out
+
+
+def _tile_links(tile: pa.RecordBatch, bits: tuple[int, int], similarity: float) -> Iterator[tuple[int, int]]:
+    """Links between components of one tile's members."""
+    sim, size, chunk = tile.column("sim").to_numpy().view(np.uint64), tile.column("n").to_numpy(), tile.column("chunk").to_numpy()
+    names, of = np.unique(tile.column("component").to_numpy(), return_inverse=True)
+    alone = tile.column("tile_i")[0].as_py() == tile.column("tile_j")[0].as_py()
+    shared = _shared(tile.column("keys"), tile.column("block_key")[0].as_py())
+    lines, forest = tile.column("line").to_pylist(), Forest(len(names))
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def roots() -> np.ndarray:
+        return np.array([forest.find(i) for i in range(len(names))], np.int64)[of]
+
+    def verified() -> Iterator[tuple[int, int]]:
+        x, y = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        order = np.argsort(np.bitwise_count(sim[x] ^ sim[y]), kind="stable")
+        x, y = x[order], y[order]
+        for i in range(0, len(x), SLICE):
+            now = roots()
+            p, q = x[i : i + SLICE], y[i : i + SLICE]
+            apart = now[p] != now[q]
+            p, q = p[apart], q[apart]
+            if len(p):
+                good = similar_pairs(lines, p, q, similarity)
+                for u, v in zip(of[p[good]].tolist(), of[q[good]].tolist(), strict=True):
+                    if forest.union(u, v):
+                        yield int(names[u]), int(names[v])
+
+    now, total = roots(), 0
+    for i in range(1, len(sim)):
+        j = np.flatnonzero((now[:i] != now[i]) & _near(sim[i], size[i], sim[:i], size[:i], bits, similarity))
+        if not alone:
+            j = j[chunk[j] != chunk[i]]
+        j = j[~(shared[j] & shared[i]).any(1)]
+        if len(j):
+            held.append((np.full(len(j), i), j))
+            total += len(j)
+        if total >= HELD or held and i + 1 == len(sim):
+            yield from verified()
+            now, total = roots(), 0
+
+
 def _lines_at(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(node, line) for `wanted` (key, pos, node): normalised lines at positions. Bounded lists of positions are broadcast."""
     small = wanted.count() <= BROADCAST_ROWS
@@ -419,13 +597,15 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8, hamming: int | None =
     classes = durable(lines.groupBy("h1", "h2").agg(F.min(F.struct("key", "pos")).alias("first"), F.count("*").alias("copies")).withColumnRenamed("h1", "node"), "classes")
     sketched = lines.where("sim is not null").select(F.explode("bands").alias("block_key") if banded else block_keys(F.col("sim"), hamming).alias("block_key"), F.col("h1").alias("node"), "sim", "n")
     found = durable(_compared(sketched, bits, similarity), "candidates")
-    large = found.where("b is null").select(F.explode(_bytes(F.col("sim"), F.col("block_key"))).alias("block_key"), F.col("a").alias("node"), "sim", "n")
-    pairs = found.unionByName(_compared(large, bits, similarity)).where("b is not null").groupBy("a", "b").agg(F.min("differ").alias("differ"))
-    pairs = durable(pairs, "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    pairs = durable(found.where("b is not null").groupBy("a", "b").agg(F.min("differ").alias("differ")), "pairs")
+    large = found.where("b is null").select("block_key", F.col("a").alias("node"), "sim", "n")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
     wanted = durable(classes.join(nodes, "node").select("node", "first.key", "first.pos"), "wanted")
-    linked = connected_components(_links(pairs, _lines_at(docs, wanted, id_column, text_column), similarity))
-    grouped = classes.join(linked, "node", "left").where("copies > 1 or component is not null").withColumn("component", F.coalesce("component", "node"))
+    texts = durable(_lines_at(docs, wanted, id_column, text_column), "texts")
+    linked = durable(connected_components(_links(pairs, texts, similarity)), "linked")
+    joined = connected_components(_rest(large, linked, texts, bits, similarity)).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    grouped = classes.join(linked, "node", "left").withColumn("linked", F.col("component").isNotNull()).withColumn("component", F.coalesce("component", "node"))
+    grouped = grouped.join(joined, "component", "left").where("copies > 1 or linked or whole is not null").withColumn("component", F.coalesce("whole", "component"))
     best = grouped.groupBy("component").agg(F.min("first").alias("stays"))
     stays = grouped.join(best, "component").select(F.col("node").alias("h1"), "h2", "stays")
     dropped = lines.join(stays, ["h1", "h2"]).where((F.col("key") != F.col("stays.key")) | (F.col("pos") != F.col("stays.pos")))

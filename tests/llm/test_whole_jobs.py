@@ -109,3 +109,51 @@ def test_near_lines_are_candidates_whatever_their_length():
             pairs = [(x, y) for x in rnd.sample(pool, min(300, len(pool))) if (y := planted(rnd, x, kind, vocabulary)) != x and line_dedup.similar(x, y, 0.8)]
             if len(pairs) > 30:
                 assert candidate_share(*map(list, zip(*pairs, strict=True))) >= least, (low, kind)
+
+
+def test_similar_pairs_at_once_equal_one_by_one():
+    rnd = random.Random(9)
+    lines = ["", "q"]
+    for n in (1, 5, 63, 64, 65, 100, 128, 129, 200, 300) * 24:
+        line = [rnd.choice("abcdé漢 😀") for _ in range(n)]
+        near = list(line)
+        for _ in range(int(n * rnd.choice((0.1, 0.19, 0.22)))):
+            at = rnd.randrange(len(near))
+            near[at : at + 1] = rnd.choice(["", "z", "zq"])
+            near = near or ["q"]
+        lines += ["".join(line), "".join(near)]
+    a, b = np.triu_indices(len(lines), 1)
+    fit = np.array([min(len(lines[i]), len(lines[j])) >= 0.8 * max(len(lines[i]), len(lines[j])) for i, j in zip(a, b, strict=True)])
+    a, b = a[fit][::2], b[fit][::2]
+    got = line_dedup.similar_pairs(lines, a, b, 0.8)
+    assert got.tolist() == [line_dedup.similar(lines[i], lines[j], 0.8) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    assert got.sum() > 50
+
+
+def test_large_keys_are_compared_to_the_end(spark, monkeypatch):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(3, 7)))
+    common, lines = [word() for _ in range(9)], []
+    for _ in range(200):  # all share most of their words; the other words of similar ones differ in a letter each, so that no small key leads there
+        own = [word() for _ in range(6)]
+        lines.append(" ".join([*common, *own]))
+        lines.append(" ".join([*common, *(x[: len(x) // 2] + "z" + x[len(x) // 2 + 1 :] for x in own)]))
+    lines += [" ".join(word() for _ in range(12)) for _ in range(100)]
+    rnd.shuffle(lines)
+    size = np.array([len(x) for x in lines])
+    own = line_dedup._digests([x.encode() for x in lines])[:, 0].copy()
+    sims, keys = line_dedup.line_sketches([x.encode() for x in lines], own, True)
+    members: dict[int, list[int]] = {}
+    for i, k in enumerate(keys):
+        for key in set(k.tolist()):
+            members.setdefault(key, []).append(i)
+    assert max(map(len, members.values())) > 4 * line_dedup.PAIRED
+    bits, forest = (line_dedup.WIDE, line_dedup.NARROW), Forest(len(lines))
+    for i, j in {(i, j) for at in members.values() for i in at for j in at if i < j}:
+        if line_dedup._near(sims[[i]], size[[i]], sims[[j]], size[[j]], bits, 0.8)[0] and line_dedup.similar(lines[i], lines[j], 0.8):
+            forest.union(i, j)
+    docs = spark.createDataFrame(list(enumerate(lines)), DOCS)
+    monkeypatch.setattr(line_dedup, "TILE", 50)
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(docs, hamming=None).collect()}
+    assert got == {i: int(forest.find(i) != i) for i in range(len(lines))}
+    assert 100 < sum(got.values()) < 250
