@@ -41,10 +41,10 @@ from driftsonde.llm.graphs import Forest, connected_components, map_groups, tile
 BROADCAST_ROWS = 500_000
 #: Members of one key up to which all pairs are compared at once, and predecessors that any further one is compared with first.
 PAIRED, CHAIN = 32, 2
-#: Members in a chunk of a larger key, and candidates of a tile held at once.
+#: Members in a chunk of a larger key, and candidates of its tiles held at once.
 TILE, HELD = 1024, 65_536
 #: Pairs for each word of 64 characters from which edit distances are computed together, pairs at a time, most words, bytes of their table.
-TOGETHER, SLICE, WORDS, TABLE = 32, 4096, 32, 1 << 26
+TOGETHER, SLICE, WORDS, TABLE = 32, 16_384, 32, 1 << 26
 #: Lengths of character runs whose counts bound distances, and bits of their hashes.
 RUNS = ((1, 6), (2, 9))
 #: Features by a line's bytes: runs of five bytes up to SHORT and up to LONG, word pairs from three quarters of LONG on.
@@ -318,7 +318,8 @@ def similar_pairs(lines: list[str], a: np.ndarray, b: np.ndarray, similarity: fl
         for i in range(0, len(of), max(1, most)):
             part = of[i : i + max(1, most)]
             if len(part) < TOGETHER * w or not 0 < w <= WORDS:
-                out[part] = [similar(own[x], own[y], similarity) for x, y in zip(a[part].tolist(), b[part].tolist(), strict=True)]
+                pairs = [(own[x], own[y]) for x, y in zip(a[part].tolist(), b[part].tolist(), strict=True)]
+                out[part] = [len(y) - edit_distance(x, y, _limit(len(y), similarity)) >= similarity * len(y) for x, y in pairs]
             else:
                 longer = size[b[part]]
                 out[part] = longer - _columns(codes, starts, size, len(alphabet), a[part], b[part], w) >= similarity * longer
@@ -502,14 +503,10 @@ def _rest(large: DataFrame, linked: DataFrame, texts: DataFrame, bits: tuple[int
     dealt = tiles(members, block="block_key", most=TILE).join(keys, "node").join(texts, "node")
 
     def work(groups: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
-        for g in groups:
-            for x, y in _tile_links(g, bits, similarity):
-                a.append(x)
-                b.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        links = np.array(list(_tile_links(groups, bits, similarity)), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
 
-    return map_groups(dealt.drop("node"), ["block_key", "tile_i", "tile_j"], work, "a bigint, b bigint", ranged=False)
+    return map_groups(dealt, ["block_key", "tile_i", "tile_j"], work, "a bigint, b bigint", ranged=False)
 
 
 def _shared(keys: pa.Array, own: int) -> np.ndarray:
@@ -522,46 +519,55 @@ def _shared(keys: pa.Array, own: int) -> np.ndarray:
     return out
 
 
-def _tile_links(tile: pa.RecordBatch, bits: tuple[int, int], similarity: float) -> Iterator[tuple[int, int]]:
-    """Links between components of one tile's members."""
-    sim, size, chunk = tile.column("sim").to_numpy().view(np.uint64), tile.column("n").to_numpy(), tile.column("chunk").to_numpy()
-    names, of = np.unique(tile.column("component").to_numpy(), return_inverse=True)
-    alone = tile.column("tile_i")[0].as_py() == tile.column("tile_j")[0].as_py()
-    shared = _shared(tile.column("keys"), tile.column("block_key")[0].as_py())
-    lines, forest = tile.column("line").to_pylist(), Forest(len(names))
+def _tile_links(groups: list[pa.RecordBatch], bits: tuple[int, int], similarity: float) -> Iterator[tuple[int, int]]:
+    """Links between components of tiles' members; candidates of several tiles are verified together."""
+    rows = pa.Table.from_batches(groups)
+    names, of = np.unique(rows.column("component").to_numpy(), return_inverse=True)
+    _, first, place = np.unique(rows.column("node").to_numpy(), return_index=True, return_inverse=True)
+    lines, of_line, sim_line = rows.column("line").take(pa.array(first)).to_pylist(), of[first], rows.column("sim").to_numpy()[first].view(np.uint64)
+    forest = Forest(len(names))
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def roots() -> np.ndarray:
-        return np.array([forest.find(i) for i in range(len(names))], np.int64)[of]
+        return np.array([forest.find(i) for i in range(len(names))], np.int64)
 
     def verified() -> Iterator[tuple[int, int]]:
         x, y = (np.concatenate(c) for c in zip(*held, strict=True))
         held.clear()
-        order = np.argsort(np.bitwise_count(sim[x] ^ sim[y]), kind="stable")
+        order = np.argsort(np.bitwise_count(sim_line[x] ^ sim_line[y]), kind="stable")
         x, y = x[order], y[order]
         for i in range(0, len(x), SLICE):
-            now = roots()
+            now = roots()[of_line]
             p, q = x[i : i + SLICE], y[i : i + SLICE]
             apart = now[p] != now[q]
             p, q = p[apart], q[apart]
             if len(p):
                 good = similar_pairs(lines, p, q, similarity)
-                for u, v in zip(of[p[good]].tolist(), of[q[good]].tolist(), strict=True):
+                for u, v in zip(of_line[p[good]].tolist(), of_line[q[good]].tolist(), strict=True):
                     if forest.union(u, v):
                         yield int(names[u]), int(names[v])
 
-    now, total = roots(), 0
-    for i in range(1, len(sim)):
-        j = np.flatnonzero((now[:i] != now[i]) & _near(sim[i], size[i], sim[:i], size[:i], bits, similarity))
-        if not alone:
-            j = j[chunk[j] != chunk[i]]
-        j = j[~(shared[j] & shared[i]).any(1)]
-        if len(j):
-            held.append((np.full(len(j), i), j))
-            total += len(j)
-        if total >= HELD or held and i + 1 == len(sim):
-            yield from verified()
-            now, total = roots(), 0
+    total = at = 0
+    for tile in groups:
+        own, its = place[at : at + len(tile)], of[at : at + len(tile)]
+        at += len(tile)
+        sim, size, chunk = tile.column("sim").to_numpy().view(np.uint64), tile.column("n").to_numpy(), tile.column("chunk").to_numpy()
+        alone = tile.column("tile_i")[0].as_py() == tile.column("tile_j")[0].as_py()
+        shared = _shared(tile.column("keys"), tile.column("block_key")[0].as_py())
+        now = roots()[its]
+        for i in range(1, len(sim)):
+            j = np.flatnonzero((now[:i] != now[i]) & _near(sim[i], size[i], sim[:i], size[:i], bits, similarity))
+            if not alone:
+                j = j[chunk[j] != chunk[i]]
+            j = j[~(shared[j] & shared[i]).any(1)]
+            if len(j):
+                held.append((np.full(len(j), own[i]), own[j]))
+                total += len(j)
+            if total >= HELD:
+                yield from verified()
+                now, total = roots()[its], 0
+    if held:
+        yield from verified()
 
 
 def _lines_at(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str) -> DataFrame:

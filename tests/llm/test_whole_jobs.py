@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+import corpus_pipeline
 from driftsonde.llm import embed_dedup, line_dedup
 from driftsonde.llm.graphs import Forest
 
@@ -130,7 +131,8 @@ def test_similar_pairs_at_once_equal_one_by_one():
     assert got.sum() > 50
 
 
-def test_large_keys_are_compared_to_the_end(spark, monkeypatch):
+def crowded():
+    """Lines around a few large keys, and which of them go if all near pairs of each key are compared."""
     rnd = random.Random(11)
     word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(3, 7)))
     common, lines = [word() for _ in range(9)], []
@@ -152,8 +154,18 @@ def test_large_keys_are_compared_to_the_end(spark, monkeypatch):
     for i, j in {(i, j) for at in members.values() for i in at for j in at if i < j}:
         if line_dedup._near(sims[[i]], size[[i]], sims[[j]], size[[j]], bits, 0.8)[0] and line_dedup.similar(lines[i], lines[j], 0.8):
             forest.union(i, j)
-    docs = spark.createDataFrame(list(enumerate(lines)), DOCS)
+    return lines, {i: int(forest.find(i) != i) for i in range(len(lines))}
+
+
+def test_large_keys_are_compared_to_the_end(spark, monkeypatch):
+    lines, want = crowded()
     monkeypatch.setattr(line_dedup, "TILE", 50)
-    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(docs, hamming=None).collect()}
-    assert got == {i: int(forest.find(i) != i) for i in range(len(lines))}
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), DOCS), hamming=None).collect()}
+    assert got == want
     assert 100 < sum(got.values()) < 250
+
+
+def test_the_lines_stage_compares_large_keys_to_the_end(spark):
+    lines, want = crowded()
+    kept = corpus_pipeline.lines(spark, spark.createDataFrame(list(enumerate(lines)), DOCS), "").select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in kept) == [i for i, gone in want.items() if not gone]
