@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
-from driftsonde.llm import embed_dedup, line_dedup
+from driftsonde.llm import embed_dedup, line_dedup, piece_codec, queries
 from driftsonde.llm.graphs import Forest
 
 DOCS = "doc_id bigint, text string"
@@ -169,3 +170,16 @@ def test_the_lines_stage_compares_large_keys_to_the_end(spark):
     lines, want = crowded()
     kept = corpus_pipeline.lines(spark, spark.createDataFrame(list(enumerate(lines)), DOCS), "").select("doc_id").collect()
     assert sorted(r["doc_id"] for r in kept) == [i for i, gone in want.items() if not gone]
+
+
+def test_short_texts_are_encoded_a_bounded_number_of_characters_at_once(spark, monkeypatch):
+    made, plain, sizes = [], piece_codec.map_batches, []
+    monkeypatch.setattr(piece_codec, "map_batches", lambda df, make, schema: made.append((make, schema)) or plain(df, make, schema))
+    piece_codec.encode_docs(spark.createDataFrame([(1, "a")], DOCS), queries.tokenizer_path("piece_bpe_32k.model"))
+    many = piece_codec.PieceCodec.encode_many
+    monkeypatch.setattr(piece_codec.PieceCodec, "encode_many", lambda self, texts: sizes.append(sum(map(len, texts))) or many(self, texts))
+    work = next(make for make, schema in reversed(made) if "round_trip" in schema)()
+    texts = [None, *["some words " * 2000] * 50, ""]
+    rows = pa.RecordBatch.from_pydict({"key": list(range(len(texts))), "text": pa.array(texts, pa.string())})
+    assert [k.as_py() for out in work(rows) for k in out["key"]] == list(range(len(texts)))
+    assert sum(sizes) == sum(len(x or "") for x in texts) and max(sizes) <= 400_000
