@@ -41,10 +41,14 @@ from driftsonde.llm.graphs import Forest, connected_components, map_groups, tile
 BROADCAST_ROWS = 500_000
 #: Members of one key up to which all pairs are compared at once, and predecessors that any further one is compared with first.
 PAIRED, CHAIN = 32, 2
-#: Members in a chunk of a larger key, and candidates of its tiles held at once.
-TILE, HELD = 1024, 65_536
-#: Pairs for each word of 64 characters from which edit distances are computed together, pairs at a time, most words, bytes of their table.
-TOGETHER, SLICE, WORDS, TABLE = 32, 16_384, 32, 1 << 26
+#: A line's key as it travels packed; lines for each bucket of keys, and keys of one bucket that are held at once.
+ROW = np.dtype([("block_key", "<i8"), ("node", "<i8"), ("sim", "<i8"), ("n", "<i4")])
+BUCKET_LINES, MOST_KEYS = 32_768, 4_000_000
+CANDIDATES = "a bigint, b bigint, differ int, block_key bigint, sim bigint, n int"
+#: Members in a chunk of a larger key, rows or candidates of tiles and stars held at once, members of a tile that are compared with the others at once.
+TILE, HELD, STRIP = 1024, 65_536, 64
+#: Pairs of like length from which edit distances are computed together, pairs at a time, bytes of their tables; lengths are alike up to one part in so many.
+TOGETHER, SLICE, TABLE, LIKE = 12, 16_384, 1 << 25, 4
 #: Lengths of character runs whose counts bound distances, and bits of their hashes.
 RUNS = ((1, 6), (2, 9))
 #: Features by a line's bytes: runs of five bytes up to SHORT and up to LONG, word pairs from three quarters of LONG on.
@@ -167,17 +171,20 @@ def edit_distance(a: str, b: str, limit: int | None = None) -> int:
         where[c] = where.get(c, 0) | 1 << i
     full, top = (1 << m) - 1, 1 << m - 1
     pv, mv, score = full, 0, m
-    for c in b:
+    ahead = left - m
+    for j, c in enumerate(b, 1):
         eq = where.get(c, 0)
         xv = eq | mv
         xh = ((eq & pv) + pv ^ pv) | eq
         ph, mh = mv | ~(xh | pv) & full, pv & xh
         score += bool(ph & top) - bool(mh & top)
-        left -= 1
-        if score - left > most:  # each column to come takes one off at most
-            return score - left
         ph, mh = (ph << 1 | 1) & full, mh << 1 & full
         pv, mv = mh | ~(xv | ph) & full, ph & xv
+        if not j & 31 and j > ahead:
+            below = (1 << j - ahead) - 1
+            on_way = j + (pv & below).bit_count() - (mv & below).bit_count()
+            if on_way > most:  # edits never become fewer along the diagonal to the end
+                return on_way
     return score
 
 
@@ -244,33 +251,101 @@ def similar(a: str, b: str, similarity: float) -> bool:
     return near_walk(a, b, similarity) or longer - edit_distance(a, b, _limit(longer, similarity)) >= similarity * longer
 
 
-def _columns(codes: np.ndarray, starts: np.ndarray, size: np.ndarray, letters: int, a: np.ndarray, b: np.ndarray, words: int) -> np.ndarray:
-    """Levenshtein distances of pairs whose shorter line a has that many words of 64 characters: Myers' columns, each for all pairs."""
-    order = np.argsort(-size[b], kind="stable")
-    a, b = a[order], b[order]
+def _banded(codes: np.ndarray, starts: np.ndarray, size: np.ndarray, letters: int, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether pairs, a the shorter line of each, are at most that many edits apart: Myers' columns for all pairs and all words of 64 characters at once.
+
+    Lines get as many equal marks in front as make all of a equally long. A word is a column behind the word below it, so
+    that it finds what that hands up. Words take part while paths of few enough edits can cross them, and a pair ends once
+    the diagonal to its end holds more edits than it may have, as they never become fewer along it.
+    """
+    rows = int(size[a].max())
+    words = -(-rows // 64)
+    pad = rows - size[a]
+    order = np.argsort(-(size[b] + pad), kind="stable")
+    a, b, pad, most = a[order], b[order], pad[order], most[order].astype(np.int64)
+    end = size[b] + pad
+    off = end - rows
+    spare = np.maximum(1, (most - off) // 2)
+    wide, past = int(spare.max()), int((off + spare).max())
     patterns, row = np.unique(a, return_inverse=True)
-    many = size[patterns]
+    many, lead = size[patterns], rows - size[patterns]
+    owner = np.repeat(np.arange(len(patterns)), many)
     inner = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-    table = np.zeros((len(patterns), letters, words), np.uint64)
-    np.add.at(table, (np.repeat(np.arange(len(patterns)), many), codes[np.repeat(starts[patterns], many) + inner], inner >> 6), np.uint64(1) << (inner & 63).astype(np.uint64))
-    one, last = np.uint64(1), np.uint64(63)
-    pv, mv = np.full((words, len(a)), ~np.uint64(0)), np.zeros((words, len(a)), np.uint64)
-    score, top, begin = size[a].astype(np.int64), ((size[a] - 1) & 63).astype(np.uint64), starts[b]
-    for j, k in enumerate(np.searchsorted(-size[b], -np.arange(int(size[b[0]]))).tolist()):
-        equal = table[row[:k], codes[begin[:k] + j]]
-        up, down = one, np.uint64(0)
-        for w in range(words):
-            p, m, eq = pv[w, :k], mv[w, :k], equal[:, w]
-            xv, eq = eq | m, eq | down
-            xh = (eq & p) + p ^ p | eq
-            ph, mh = m | ~(xh | p), p & xh
-            if w == words - 1:
-                score[:k] += (ph >> top[:k] & one).astype(np.int64) - (mh >> top[:k] & one).astype(np.int64)
-            ph, mh, up, down = ph << one | up, mh << one | down, ph >> last, mh >> last
-            pv[w, :k], mv[w, :k] = mh | ~(xv | ph), ph & xv
-    out = np.empty(len(a), np.int64)
-    out[order] = score
-    return out
+    table = np.zeros((words, len(patterns), letters + 1), np.uint64)
+    place = inner + lead[owner]
+    np.bitwise_or.at(table, (place >> 6, owner, codes[starts[patterns][owner] + inner]), np.uint64(1) << (place & 63).astype(np.uint64))
+    for w in range(words):
+        ones = np.clip(lead - 64 * w, 0, 64)
+        table[w, :, letters] = np.where(ones == 64, ~np.uint64(0), (np.uint64(1) << (ones & 63).astype(np.uint64)) - np.uint64(1))
+    table = table.ravel()
+    at = np.empty((64 * words + past + 1, len(a)), np.int64)
+    at[:] = row * (letters + 1)
+    number = np.arange(1, len(at))[:, None]
+    inside = (number > pad) & (number <= end)
+    at[1:] += np.where(inside, codes[np.where(inside, starts[b] - pad + number - 1, 0)], letters)
+    number = np.arange(words)
+    begin = np.maximum(64 * number + 1 - wide, 1)
+    first, final = begin + number, 64 * number + 64 + past + number
+    base = (number * (len(patterns) * (letters + 1)))[:, None]
+    top, height = np.full((words, 1), 63, np.uint64), np.full(words, 64)
+    height[-1] = rows - 64 * (words - 1)
+    top[-1] = height[-1] - 1
+    middle = int(np.median(off))
+    looks = {64 * (w + 1) + middle + w: w for w in range(words - 1)}
+    one, k = np.uint64(1), len(a)
+    pv, mv = np.full((words, k), ~np.uint64(0)), np.zeros((words, k), np.uint64)
+    up, down = np.ones((words + 1, k), np.uint64), np.zeros((words + 1, k), np.uint64)
+    score = np.repeat(np.cumsum(height)[:, None], k, 1)
+    out, alive = np.zeros(k, bool), np.arange(k)
+    low = high = 0
+    for t in range(1, int(end[0]) + words):
+        while high < words and first[high] <= t:
+            if begin[high] > 1:
+                score[high] = score[high - 1] + height[high] - up[high].view(np.int64) + down[high].view(np.int64)
+            high += 1
+        while final[low] < t:
+            low += 1
+        if low and final[low - 1] < t - 1:
+            up[low], down[low] = 1, 0
+        p, m, plus, minus = pv[low:high, :k], mv[low:high, :k], up[low:high, :k], down[low:high, :k]
+        eq = table.take(at[t - high + 1 : t - low + 1, :k][::-1] + base[low:high])
+        xv = eq | m
+        eq |= minus
+        xh = eq & p
+        xh += p
+        xh ^= p
+        xh |= eq
+        ph = xh | p
+        np.invert(ph, out=ph)
+        ph |= m
+        mh = p & xh
+        more, less = ph >> top[low:high] & one, mh >> top[low:high] & one
+        score[low:high, :k] += (more - less).view(np.int64)
+        ph <<= one
+        ph |= plus
+        mh <<= one
+        mh |= minus
+        np.bitwise_and(ph, xv, out=m)
+        ph |= xv
+        np.invert(ph, out=ph)
+        np.bitwise_or(mh, ph, out=p)
+        up[low + 1 : high + 1, :k], down[low + 1 : high + 1, :k] = more, less
+        if end[k - 1] == t - words + 1:
+            left = int(np.searchsorted(-end[:k], -end[k - 1]))
+            out[alive[left:k]] = score[-1, left:k] <= most[left:k]
+            k = left
+            if not k:
+                break
+        if t in looks:
+            stay = np.flatnonzero(score[looks[t], :k] - np.abs(middle - off[:k]) <= most[:k])
+            if not len(stay):
+                break
+            if len(stay) <= 0.8 * k:
+                pv, mv, up, down, score, at = (x[:, stay] for x in (pv, mv, up, down, score, at))
+                alive, end, off, most, k = alive[stay], end[stay], off[stay], most[stay], len(stay)
+    back = np.empty(len(out), bool)
+    back[order] = out
+    return back
 
 
 def _counts(codes: np.ndarray, size: np.ndarray, q: int, bits: int) -> np.ndarray:
@@ -308,21 +383,27 @@ def similar_pairs(lines: list[str], a: np.ndarray, b: np.ndarray, similarity: fl
     a, b = at[: len(a)], at[len(a) :]
     swap = size[a] > size[b]
     a, b = np.where(swap, b, a), np.where(swap, a, b)
-    words = -(-size[a] // 64)
-    fit = size[a] >= similarity * size[b]
+    longer = size[b]
+    fit = size[a] >= similarity * longer
     if len(a) >= TOGETHER:
         fit &= ~_apart(codes, size, a, b, similarity)
-    for w in np.unique(words[fit]).tolist():
-        of = np.flatnonzero(fit & (words == w))
-        most = min(SLICE, TABLE // max(1, 8 * w * len(alphabet)))
-        for i in range(0, len(of), max(1, most)):
-            part = of[i : i + max(1, most)]
-            if len(part) < TOGETHER * w or not 0 < w <= WORDS:
-                pairs = [(own[x], own[y]) for x, y in zip(a[part].tolist(), b[part].tolist(), strict=True)]
-                out[part] = [len(y) - edit_distance(x, y, _limit(len(y), similarity)) >= similarity * len(y) for x, y in pairs]
-            else:
-                longer = size[b[part]]
-                out[part] = longer - _columns(codes, starts, size, len(alphabet), a[part], b[part], w) >= similarity * longer
+    most = np.floor(longer - similarity * longer).astype(np.int64)
+    most += longer - (most + 1) >= similarity * longer
+    most -= longer - most < similarity * longer
+    left = np.flatnonzero(fit)
+    left = left[np.argsort(-size[a[left]], kind="stable")]
+    lengths = size[a[left]]
+    i = 0
+    while i < len(left):
+        rows = int(lengths[i])
+        part = left[i : int(np.searchsorted(-lengths, -(rows - rows // LIKE), side="right"))]
+        part = part[: max(1, min(SLICE, TABLE // (8 * (2 * rows + len(alphabet) * (rows // 64 + 1)))))]
+        if len(part) < TOGETHER or not size[a[part[-1]]]:
+            pairs = [(own[x], own[y]) for x, y in zip(a[part].tolist(), b[part].tolist(), strict=True)]
+            out[part] = [edit_distance(x, y, m) <= m for (x, y), m in zip(pairs, most[part].tolist(), strict=True)]
+        else:
+            out[part] = _banded(codes, starts, size, len(alphabet), a[part], b[part], most[part])
+        i += len(part)
     return out
 
 
@@ -386,6 +467,30 @@ def block_keys(sim: Column, hamming: int) -> Column:
     return F.explode(F.array(*(F.xxhash64(sim.bitwiseAND(F.lit(m)), F.lit(i)) for i, m in enumerate(signed))))
 
 
+def _packed(buckets: int):
+    """Rows (bucket, rows): the keys of lines (bands, h1, sim, n) by ranges of the key, as bytes of ROW."""
+
+    def make():
+        def work(batch: pa.RecordBatch) -> Iterator[dict]:
+            bands = batch.column("bands")
+            keys, sizes = bands.flatten().to_numpy(), pc.list_value_length(bands).to_numpy()
+            rows = np.empty(len(keys), ROW)
+            rows["block_key"] = keys
+            for name, column in (("node", "h1"), ("sim", "sim"), ("n", "n")):
+                rows[name] = np.repeat(batch.column(column).to_numpy(), sizes)
+            bucket = (keys.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            order = np.argsort(bucket.astype(np.uint16), kind="stable")
+            number = np.bincount(bucket.astype(np.int64), minlength=buckets)
+            full = np.flatnonzero(number)
+            ends = (np.append(0, np.cumsum(number[full])) * ROW.itemsize).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(ends), pa.py_buffer(rows[order])])
+            yield {"bucket": full, "rows": packed}
+
+        return work
+
+    return make
+
+
 def _lengths(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     """Whether lines of these lengths can be similar."""
     return np.minimum(a, b) >= similarity * np.maximum(a, b)
@@ -452,7 +557,58 @@ def _candidates(bits: tuple[int, int], similarity: float):
 
 def _compared(keyed: DataFrame, bits: tuple[int, int], similarity: float) -> DataFrame:
     dealt = keyed.repartition("block_key").sortWithinPartitions("block_key", "sim", "node")
-    return dealt.mapInArrow(_candidates(bits, similarity), "a bigint, b bigint, differ int, block_key bigint, sim bigint, n int")
+    return dealt.mapInArrow(_candidates(bits, similarity), CANDIDATES)
+
+
+def _candidates_packed(bits: tuple[int, int], similarity: float):
+    """The same from packed rows sorted by bucket. Of a bucket with more than MOST_KEYS, which can't be held, the rows are given back, with -1 bits that differ."""
+    compare = _candidates(bits, similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        now, total, over = None, 0, False
+
+        def given() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            rows = np.concatenate(held)
+            held.clear()
+            key, node, sim, n = (rows[name].copy() for name in ROW.names)
+            if over:
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(rows), pa.int64()), pa.array(np.full(len(rows), -1, np.int32)), pa.array(key), pa.array(sim), pa.array(n)], names=["a", "b", "differ", "block_key", "sim", "n"])
+                return
+            order = np.argsort(key)
+            same = np.append(np.diff(key[order]) == 0, False)
+            same[1:] |= same[:-1].copy()
+            again = order[same]
+            again = again[np.lexsort((node[again], sim[again], key[again]))]
+            yield from compare(iter([pa.RecordBatch.from_arrays([pa.array(x[again]) for x in (key, node, sim, n)], names=list(ROW.names))]))
+
+        for batch in batches:
+            packed = batch.column("rows")
+            ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+            for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+                if bucket != now:
+                    yield from given()
+                    now, total, over = bucket, 0, False
+                held.append(np.frombuffer(packed.buffers()[2], np.uint8)[ends[i] : ends[i + 1]].copy().view(ROW))
+                total += len(held[-1])
+                if total > MOST_KEYS:
+                    over, total = True, 0
+                    yield from given()
+        yield from given()
+
+    return run
+
+
+def _banded_candidates(lines: DataFrame, bits: tuple[int, int], similarity: float) -> DataFrame:
+    """Candidates from the keys of banded lines, which travel packed: a task sorts its buckets itself, without the keys that no other row has."""
+    buckets = min(max(64, lines.count() // BUCKET_LINES), 1 << 16)
+    packed = map_batches(lines.where("sim is not null").select("bands", "h1", "sim", "n"), _packed(buckets), "bucket int, rows binary")
+    found = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_candidates_packed(bits, similarity), CANDIDATES)
+    found = durable(found, "candidates")
+    too_many = found.where("differ = -1").select("block_key", F.col("a").alias("node"), "sim", "n")
+    return found.where("differ is null or differ >= 0").unionByName(durable(_compared(too_many, bits, similarity), "candidates"))
 
 
 def _links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -491,7 +647,7 @@ def _links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
             b += [nodes[i] for i in y[good].tolist()]
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return map_groups(rows, ["star"], work, "a bigint, b bigint", within=["differ"], ranged=False)
+    return map_groups(rows, ["star"], work, "a bigint, b bigint", within=["differ"], ranged=False, least=HELD)
 
 
 def _rest(large: DataFrame, linked: DataFrame, texts: DataFrame, bits: tuple[int, int], similarity: float) -> DataFrame:
@@ -506,7 +662,7 @@ def _rest(large: DataFrame, linked: DataFrame, texts: DataFrame, bits: tuple[int
         links = np.array(list(_tile_links(groups, bits, similarity)), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
 
-    return map_groups(dealt, ["block_key", "tile_i", "tile_j"], work, "a bigint, b bigint", ranged=False)
+    return map_groups(dealt, ["block_key", "tile_i", "tile_j"], work, "a bigint, b bigint", ranged=False, least=HELD)
 
 
 def _shared(keys: pa.Array, own: int) -> np.ndarray:
@@ -548,24 +704,37 @@ def _tile_links(groups: list[pa.RecordBatch], bits: tuple[int, int], similarity:
                         yield int(names[u]), int(names[v])
 
     total = at = 0
+    whole = roots()
     for tile in groups:
         own, its = place[at : at + len(tile)], of[at : at + len(tile)]
         at += len(tile)
-        sim, size, chunk = tile.column("sim").to_numpy().view(np.uint64), tile.column("n").to_numpy(), tile.column("chunk").to_numpy()
+        now = whole[its]
+        if (now == now[0]).all():
+            continue
+        size = tile.column("n").to_numpy()
+        order = np.argsort(size, kind="stable")
+        own, its, now, size = own[order], its[order], now[order], size[order]
+        sim, chunk = tile.column("sim").to_numpy()[order].view(np.uint64), tile.column("chunk").to_numpy()[order]
         alone = tile.column("tile_i")[0].as_py() == tile.column("tile_j")[0].as_py()
-        shared = _shared(tile.column("keys"), tile.column("block_key")[0].as_py())
-        now = roots()[its]
-        for i in range(1, len(sim)):
-            j = np.flatnonzero((now[:i] != now[i]) & _near(sim[i], size[i], sim[:i], size[:i], bits, similarity))
+        shared = _shared(tile.column("keys"), tile.column("block_key")[0].as_py())[order]
+        for i in range(0, len(size), STRIP):
+            strip = slice(i, min(i + STRIP, len(size)))
+            low = int(np.searchsorted(size >= similarity * size[i], True))  # shorter ones are similar to none of the strip
+            j = slice(low, strip.stop)
+            fit = _near(sim[strip, None], size[strip, None], sim[None, j], size[None, j], bits, similarity) & (now[strip, None] != now[None, j])
             if not alone:
-                j = j[chunk[j] != chunk[i]]
-            j = j[~(shared[j] & shared[i]).any(1)]
-            if len(j):
-                held.append((np.full(len(j), own[i]), own[j]))
-                total += len(j)
+                fit &= chunk[strip, None] != chunk[None, j]
+            x, y = np.nonzero(fit)
+            x, y = x + i, y + low
+            x, y = x[y < x], y[y < x]
+            new = ~(shared[x] & shared[y]).any(1)
+            if new.any():
+                held.append((own[x[new]], own[y[new]]))
+                total += int(new.sum())
             if total >= HELD:
                 yield from verified()
-                now, total = roots()[its], 0
+                whole, total = roots(), 0
+                now = whole[its]
     if held:
         yield from verified()
 
@@ -601,23 +770,27 @@ def dedup_lines(docs: DataFrame, similarity: float = 0.8, hamming: int | None =
     bits = (WIDE, NARROW) if banded else (hamming, hamming)
     lines = durable(line_table(docs.where(docs[id_column].isNotNull()), id_column, text_column, min_chars, banded), "lines")
     classes = durable(lines.groupBy("h1", "h2").agg(F.min(F.struct("key", "pos")).alias("first"), F.count("*").alias("copies")).withColumnRenamed("h1", "node"), "classes")
-    sketched = lines.where("sim is not null").select(F.explode("bands").alias("block_key") if banded else block_keys(F.col("sim"), hamming).alias("block_key"), F.col("h1").alias("node"), "sim", "n")
-    found = durable(_compared(sketched, bits, similarity), "candidates")
+    if banded:
+        found = _banded_candidates(lines, bits, similarity)
+    else:
+        found = durable(_compared(lines.where("sim is not null").select(block_keys(F.col("sim"), hamming).alias("block_key"), F.col("h1").alias("node"), "sim", "n"), bits, similarity), "candidates")
     pairs = durable(found.where("b is not null").groupBy("a", "b").agg(F.min("differ").alias("differ")), "pairs")
     large = found.where("b is null").select("block_key", F.col("a").alias("node"), "sim", "n")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
-    wanted = durable(classes.join(nodes, "node").select("node", "first.key", "first.pos"), "wanted")
-    texts = durable(_lines_at(docs, wanted, id_column, text_column), "texts")
+    wanted = durable(classes.join(nodes, "node"), "wanted")
+    texts = durable(_lines_at(docs, wanted.select("node", "first.key", "first.pos"), id_column, text_column), "texts")
     linked = durable(connected_components(_links(pairs, texts, similarity)), "linked")
     joined = connected_components(_rest(large, linked, texts, bits, similarity)).select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    grouped = classes.join(linked, "node", "left").withColumn("linked", F.col("component").isNotNull()).withColumn("component", F.coalesce("component", "node"))
+    several = wanted.where("copies = 1").unionByName(classes.where("copies > 1"))  # no others can lose a line
+    grouped = several.join(linked, "node", "left").withColumn("linked", F.col("component").isNotNull()).withColumn("component", F.coalesce("component", "node"))
     grouped = grouped.join(joined, "component", "left").where("copies > 1 or linked or whole is not null").withColumn("component", F.coalesce("whole", "component"))
+    grouped = durable(grouped.select("node", "h2", "first", "component"), "grouped")
     best = grouped.groupBy("component").agg(F.min("first").alias("stays"))
     stays = grouped.join(best, "component").select(F.col("node").alias("h1"), "h2", "stays")
-    dropped = lines.join(stays, ["h1", "h2"]).where((F.col("key") != F.col("stays.key")) | (F.col("pos") != F.col("stays.pos")))
+    dropped = lines.select("key", "pos", "h1", "h2").join(stays.hint("shuffle_hash"), ["h1", "h2"]).where((F.col("key") != F.col("stays.key")) | (F.col("pos") != F.col("stays.pos")))
     by_doc = dropped.groupBy("key").agg(F.collect_set("pos").alias("gone"))
     mark, gone = (next(c for c in (f"{name}{'_' * i}" for i in range(1, 99)) if c.lower() not in {x.lower() for x in docs.columns}) for name in ("key", "gone"))
-    out = docs.join(by_doc.withColumnsRenamed({"key": mark, "gone": gone}), docs[id_column] == F.col(mark), "left").drop(mark)
+    out = docs.join(by_doc.withColumnsRenamed({"key": mark, "gone": gone}).hint("shuffle_hash"), docs[id_column] == F.col(mark), "left").drop(mark)
     parts = F.split(F.col(text_column).cast("string"), "\n", -1)
     kept = F.array_join(F.transform(F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(gone, s["i"])), lambda s: s["x"]), "\n")
     return out.withColumns({counts[0]: F.size(parts), counts[1]: F.coalesce(F.size(gone), F.lit(0)), text_column: F.when(F.col(gone).isNull(), F.col(text_column)).otherwise(kept)}).drop(gone)

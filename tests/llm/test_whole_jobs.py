@@ -183,3 +183,26 @@ def test_short_texts_are_encoded_a_bounded_number_of_characters_at_once(spark, m
     rows = pa.RecordBatch.from_pydict({"key": list(range(len(texts))), "text": pa.array(texts, pa.string())})
     assert [k.as_py() for out in work(rows) for k in out["key"]] == list(range(len(texts)))
     assert sum(sizes) == sum(len(x or "") for x in texts) and max(sizes) <= 400_000
+
+
+def test_lines_of_like_length_are_verified_together(monkeypatch):
+    rnd = random.Random(3)
+    lines = []
+    for _ in range(20):
+        line = [rnd.choice("abcdefgh ") for _ in range(rnd.randint(300, 330))]
+        near = list(line)
+        for at in rnd.sample(range(len(near)), int(rnd.choice((0.1, 0.19, 0.23, 0.4)) * len(near))):
+            near[at : at + 1] = rnd.choice(["", "z", "zz"])
+        lines += ["".join(line), "".join(near)]
+    a, b = np.arange(0, 40, 2), np.arange(1, 40, 2)
+    want = [(longer := max(len(lines[i]), len(lines[j]))) - distance(lines[i], lines[j]) >= 0.8 * longer for i, j in zip(a, b, strict=True)]
+    monkeypatch.setattr(line_dedup, "edit_distance", None)  # none goes one by one
+    assert line_dedup.similar_pairs(lines, a, b, 0.8).tolist() == want
+    assert 0 < sum(want) < len(want)
+
+
+def test_keys_of_buckets_that_cannot_be_held_are_compared_too(spark, monkeypatch):
+    lines, want = crowded()
+    monkeypatch.setattr(line_dedup, "MOST_KEYS", 20)
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), DOCS), hamming=None).collect()}
+    assert got == want
