@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _ENDS = re.compile(r"[.!?。]\s+|\n+")
@@ -34,25 +37,28 @@ def cuts(text: str, limit: int) -> list[tuple[int, int]]:
     return out
 
 
-def fragments(text: Column, limit: int) -> Column:
-    def run(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda x: None if x is None else [{"start": a, "end": b} for a, b in cuts(x, limit)])
+def chunk_spans(text: str, size: int) -> list[tuple[int, int]]:
+    """(start, end) of chunks made of fragments of a third of `size` each, as many as fit; the last fragment of a chunk begins the next."""
+    third = max(1, size // 3)
+    parts, step = cuts(text, third), max(1, size // third - 1)
+    return [(parts[max(0, at - 1)][0], parts[min(at + step, len(parts)) - 1][1]) for at in range(0, len(parts), step)]
 
-    return F.pandas_udf(run, "array<struct<start:bigint,end:bigint>>")(text)
 
+def chunks(docs: DataFrame, id_column: str, text_column: str, size: int, rows: int = 256) -> DataFrame:
+    """(id, chunk, start, end, text) of the chunks of each document, made where it is read: neither texts nor pieces are shuffled. Batches hold about `rows` documents or chunks."""
 
-def chunks(docs: DataFrame, id_column: str, text_column: str, size: int) -> DataFrame:
-    """(id, chunk, start, end, text) of chunks made of fragments of a third of `size` each, as many as fit; one fragment stands in two neighbours."""
-    third = max(1, size // 3)
-    units = docs.select(id_column, text_column, F.posexplode(fragments(F.col(text_column), third)).alias("unit", "f"))
-    step = max(1, size // third - 1)
-    marked = units.select(id_column, text_column, "unit", "f.start", "f.end", F.floor(F.col("unit") / step).cast("int").alias("chunk"))
-    first = F.min("start").over(Window.partitionBy(id_column, "chunk"))
-    last = F.max("end").over(Window.partitionBy(id_column, "chunk"))
-    whole = marked.withColumns({"s": first, "e": last}).groupBy(id_column, "chunk").agg(F.min("s").alias("start"), F.max("e").alias("end"), F.first(text_column).alias("_t"), F.max(F.struct("unit", F.struct("start", "end").alias("f")))["f"].alias("_last"))
-    before = F.lag("_last").over(Window.partitionBy(id_column).orderBy("chunk"))
-    joined = whole.withColumn("start", F.coalesce(before["start"], F.col("start")))
-    return joined.select(id_column, "chunk", "start", "end", F.substring(F.col("_t"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("text"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, len(whole), rows):
+                batch = whole.slice(begin, rows)
+                made = ((i, n, a, b, x[a:b]) for i, x in enumerate(batch.column(1).to_pylist()) if x for n, (a, b) in enumerate(chunk_spans(x, size)))
+                while part := list(islice(made, rows)):
+                    at, n, start, end, text = zip(*part, strict=True)
+                    columns = [batch.column(0).take(pa.array(at)), pa.array(n, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(text, pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, names=[id_column, "chunk", "start", "end", "text"])
+
+    kind = docs.schema[id_column].dataType.simpleString()
+    return docs.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, chunk int, start bigint, end bigint, text string")
 
 
 _PAIRS = {"(": ")", "[": "]", "{": "}", "「": "」", "『": "』", "《": "》", "“": "”", "‘": "’"}

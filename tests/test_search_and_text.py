@@ -166,6 +166,14 @@ def test_chunks_cut_at_sentence_ends_and_cover_the_text(spark):
         assert set().union(*(range(a, b) for _, a, b, _ in own)) == set(range(len(text or "")))
 
 
+def test_chunks_are_made_where_texts_are_read(spark):
+    docs = spark.createDataFrame([("a", "one. " * 400), ("a", "x" * 700), ("b", "")], "`the id` string, text string")
+    found = segments.chunks(docs, "the id", "text", 300, rows=2)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()  # a window would shuffle the whole text with each of its pieces
+    spans = [x for text in ("one. " * 400, "x" * 700) for x in enumerate(segments.chunk_spans(text, 300))]
+    assert sorted((r["chunk"], (r["start"], r["end"])) for r in found.collect()) == sorted(spans)  # rows of one id stay apart
+
+
 def test_sentences_respect_quotes_and_brackets():
     assert segments.sentence_list('He said "Go. Now." and left. (A. B.) Then? Yes') == ['He said "Go. Now." and left.', "(A. B.) Then?", "Yes"]
     assert segments.sentence_list("open ( never closed. Next\nnew line. ok") == ["open ( never closed. Next", "new line.", "ok"]
