@@ -11,9 +11,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Runs of what str.isalnum() holds of.
+_ALNUM = re.compile(r"[^\W_]+")
+
+
 def surface_of(text: str) -> str:
     """Compatibility form, lower case, letters and digits only."""
-    return "".join(c for c in unicodedata.normalize("NFKC", text).lower() if c.isalnum())
+    return "".join(_ALNUM.findall(unicodedata.normalize("NFKC", text).lower()))
 
 
 def with_origins(text: str) -> tuple[str, list[int]]:

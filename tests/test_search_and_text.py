@@ -147,6 +147,41 @@ def test_unicode_forms():
         assert len(plain) == len(origins) and all(unicodedata.normalize("NFKC", text[o]).lower().find(c) >= 0 for c, o in zip(plain, origins, strict=True))
 
 
+def _syllables(rnd: random.Random):
+    known = ["".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 3))) for _ in range(12)]
+    return lambda n: "".join(rnd.choice(known) for _ in range(n))
+
+
+def test_fuzzy_finds_score_only_pairs_with_a_long_enough_substring_in_common():
+    rnd = random.Random(3)
+    made = _syllables(rnd)
+    phrases, texts = sorted({made(rnd.randint(1, 14)) for _ in range(60)}), [made(rnd.randint(0, 120)) for _ in range(150)] + [""]
+    for pairs in (1, 40, 1 << 22):  # a text at a time and plainly, some texts at a time, all
+        near = surface.Near(phrases, 0.55, 0.78, pairs)
+        want = set()
+        for i, text in enumerate(texts):
+            for p, phrase in enumerate(phrases):
+                grams = {phrase[j : j + 3] for j in range(len(phrase) - 2)}
+                cover = sum(g in text for g in grams) / max(1, len(grams))
+                score = 0.65 * cover + 0.35 * surface.common_length(phrase, text) / len(phrase)
+                if len(phrase) >= 5 and cover >= 0.55 and score >= 0.78:
+                    want.add((i, p, score))
+        got = [(first + i, p, score) for first, pack in surface.packs(texts) for i, p, score in near.near(pack)]
+        scored = [(first + i, p, n) for first, pack in surface.packs(texts) for i, p, n in near.common(pack)]
+        assert len(got) == len(want) and set(got) == want
+        assert all(n == surface.common_length(phrases[p], texts[i]) for i, p, n in scored) and len(scored) < len(texts) * len(phrases) / 2
+
+
+def test_strings_held_are_found_in_one_pass_over_packs():
+    rnd = random.Random(5)
+    made = _syllables(rnd)
+    strings, texts = sorted({made(n) for n in range(1, 30) for _ in range(4)}), [made(rnd.randint(0, 200)) for _ in range(150)] + ["", "\0", "é", "이야기"]
+    strings += ["é", "야기", "\0a"]
+    held = surface.Held(strings)
+    got = [(first + i, p) for first, pack in surface.packs(texts) for found in held.within(pack) for i, p in zip(*(x.tolist() for x in found), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == {(i, p) for i, text in enumerate(texts) for p, x in enumerate(strings) if x in text}
+
+
 def test_chunks_cut_at_sentence_ends_and_cover_the_text(spark):
     rnd = random.Random(4)
     texts = ["".join(rnd.choice(["word ", "another ", "end. ", "x" * 20, "\n", "why? "]) for _ in range(rnd.randint(0, 200))) for _ in range(40)] + ["", "y" * 1000, None]
