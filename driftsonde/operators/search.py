@@ -205,13 +205,15 @@ def hybrid_topk(queries: DataFrame, corpus: DataFrame, sparse, alpha: float | st
     """(query_id, id, score, rank): the k best of alpha * dense + (1 - alpha) * sparse over all of both sides, a missing side adding nothing.
 
     alpha is a number or a column of the queries (query_id, query). sparse: rows (query_id, id, score), or what makes them,
-    a `bm25.Scores`. Exact without all pairs. A row without a sparse score (none below 0) can only be among the k best by
+    a `bm25.Scores`, which sums both sides where its postings are. Rows are exact without all pairs, too. A row without a sparse score (none below 0) can only be among the k best by
     dense score. Of the others only those are scored whose sparse share and the query's best dense score reach the k-th
     best of the rows known by then: the k best of either side.
     """
     if isinstance(sparse, DataFrame):
         sparse = Listed(sparse)
     share = F.col(alpha) if isinstance(alpha, str) else F.lit(alpha)
+    if hasattr(sparse, "fused"):
+        return top_k(sparse.fused(queries.select("query_id", "query", share.alias("alpha")), corpus.select("id", "vector"), k), k)
     vectors, asked = corpus.select("id", "vector"), queries.select("query_id", "query", share.cast("double").alias("_alpha"))
     near = materialise(dense_topk(asked.select("query_id", "query"), vectors, k), "near")
     top = near.groupBy("query_id").agg(F.greatest(F.max("score"), F.lit(0.0)).alias("_most"))

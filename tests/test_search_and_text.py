@@ -1,5 +1,6 @@
 """Searches, filters, texts, stores and dialogues against plain Python on small tables."""
 
+import math
 import random
 import re
 import unicodedata
@@ -147,6 +148,29 @@ def test_unicode_forms():
         assert len(plain) == len(origins) and all(unicodedata.normalize("NFKC", text[o]).lower().find(c) >= 0 for c, o in zip(plain, origins, strict=True))
 
 
+def test_hybrid_sums_are_made_beside_the_postings(spark):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 12)))) for i in range(0, 120)]
+    vectors = [(i, [rnd.gauss(0, 1) for _ in range(3)]) for i in range(60, 160)] + [(70, [0.5, 0.5, 0.5]), (71, [1.0, 2.0]), (200, [float("nan"), 1.0, 1.0]), (3, [float("inf"), 1.0, 1.0]), (5, None), (None, [1.0, 1.0, 1.0])]
+    asked = [(i, " ".join(rnd.choice(words) for _ in range(4)), [rnd.gauss(0, 1) for _ in range(3)] if i % 4 else None, rnd.choice([0.0, 0.3, 0.6, 1.0])) for i in range(60, 80)] + [(500, "w1 w2", [1.0, 2.0], 0.5), (501, "unseen", [1.0, 2.0, 3.0], 0.5)]
+    q = spark.createDataFrame(asked, "query_id int, text string, query array<double>, a double")
+    sparse = bm25.Scores(q, spark.createDataFrame(docs, "id bigint, text string"), block=8)
+    got = {}
+    for r in search.hybrid_topk(q, spark.createDataFrame(vectors, "id bigint, vector array<float>"), sparse, "a", 7).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"], round(r["score"], 5)))
+    shares = {(r["query_id"], r["id"]): r["score"] for r in sparse.all().collect()}
+    for query_id, _, query, a in asked:
+        dense = {}
+        for i, v in vectors:
+            if i is not None and i != query_id and query and v and len(v) == len(query) and all(map(math.isfinite, v)):
+                dense[i] = max(dense.get(i, -math.inf), sum(x * y for x, y in zip(query, v, strict=True)))
+        known = {i: s for (n, i), s in shares.items() if n == query_id}
+        every = sorted((-(a * dense.get(i, 0.0) + (1 - a) * known.get(i, 0.0)), i) for i in {*dense, *known})[:7]
+        mine = sorted(got.get(query_id, []))
+        assert [x[2] for x in mine] == pytest.approx([-s for s, _ in every], abs=2e-5) and [x[1] for x in mine] == [i for _, i in every]
+
+
 def _syllables(rnd: random.Random):
     known = ["".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 3))) for _ in range(12)]
     return lambda n: "".join(rnd.choice(known) for _ in range(n))
