@@ -171,6 +171,13 @@ def test_hybrid_sums_are_made_beside_the_postings(spark):
         assert [x[2] for x in mine] == pytest.approx([-s for s, _ in every], abs=2e-5) and [x[1] for x in mine] == [i for _, i in every]
 
 
+def test_corpus_stats_need_no_postings(spark):
+    docs = spark.createDataFrame([(1, "a a b"), (1, "a c"), (2, "d b"), (None, "e d"), (None, "f"), (3, " "), (4, None)], "id int, text string")
+    found = bm25.corpus_stats(docs, "id", "text")
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.first().asDict() == {"n_docs": 3, "min_length": 2, "avg_length": 10 / 3, "max_length": 5, "unique_terms": 6, "singleton_terms": 4}
+
+
 def _syllables(rnd: random.Random):
     known = ["".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 3))) for _ in range(12)]
     return lambda n: "".join(rnd.choice(known) for _ in range(n))
