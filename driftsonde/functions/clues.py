@@ -74,19 +74,17 @@ def slot_statements(query: Column) -> Column:
     """(voice, genre) that a query states for sure: clause by clause, quotes left out; null where it states none, or takes it back within three words."""
     clauses = F.split(F.regexp_replace(query, r"[\"“‘'][^\"”’'\n]*[\"”’']", " "), r"[,.!?\n]+|(?<=지만)\s|(?<=는데)\s|(?<=인데)\s")
 
+    low = F.lower(query)  # patterns are tried where their word stands at all
+
     def stated(words: dict[str, str], behind: str) -> Column:
         one = []
         for word, value in words.items():
             pattern = rf"(?i)(?<![가-힣a-z0-9]){re.escape(word)}(?!\s*친구){behind}"
             back = rf"{pattern}\S*\s*(?:\S+\s+){{0,2}}\S*(?:{TAKEN_BACK})"
-            one.append(_any_clause(clauses, pattern, back, value))
+            one.append(F.when(F.contains(low, F.lit(word)) & F.exists(clauses, lambda c: c.rlike(pattern) & ~c.rlike(back)), F.lit(value)))  # noqa: B023  called at once
         return F.filter(F.array(*one), lambda x: x.isNotNull())
 
     voices = F.array_distinct(stated(VOICE_WORDS, rf"(?=\s*(?:\S+\s+){{0,3}}\S*(?:{PERFORMERS}))"))
     voice = F.when(F.array_contains(voices, "혼성") | (F.size(voices) > 1), "혼성").otherwise(F.try_element_at(voices, F.lit(1)))
     genres = stated(GENRE_WORDS, r"(?!\s*(?:기타|베이스|드럼|카페|클럽|라는\s*말))")
     return F.struct(voice.alias("voice"), F.try_element_at(genres, F.lit(1)).alias("genre"))
-
-
-def _any_clause(clauses: Column, pattern: str, back: str, value: str) -> Column:
-    return F.when(F.exists(clauses, lambda c: c.rlike(pattern) & ~c.rlike(back)), F.lit(value))

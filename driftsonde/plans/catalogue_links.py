@@ -11,6 +11,7 @@ from driftsonde.functions.unicode import excerpt, identity_key
 from driftsonde.operators import clarify, ledgers, reviews, works
 from driftsonde.plans.catalogue import query, r6, t
 from driftsonde.sources import records
+from driftsonde.sources.steps import spread
 
 _TITLE = "CASE p_partkey % 8 WHEN 0 THEN p_name || ' (Live)' WHEN 1 THEN p_name || ' (Inst.)' WHEN 2 THEN p_name || ' Two' WHEN 3 THEN p_name || ' (Boy With Luv)' WHEN 4 THEN 'My ' || p_name WHEN 5 THEN p_name || ' - Sped Up' ELSE p_name END"
 
@@ -45,7 +46,7 @@ def t_artists(spark, d):
 SELECT p_partkey, CASE m WHEN 0 THEN '라이브판' WHEN 1 THEN '반주/MR' ELSE '' END AS labels, CASE m WHEN 0 THEN '- / 라이브판' WHEN 1 THEN '- / 반주/MR' END AS mismatch, CASE m WHEN 0 THEN '라이브판: (Live)' WHEN 1 THEN 'Inst/MR' WHEN 5 THEN 'Sped Up: (Sped Up)' ELSE '' END AS variant FROM p""")
 def t_versions(spark, d):
     title = F.col("title")
-    return _titles(d, spark).select("p_partkey", F.array_join(F.array_sort(linking.version_labels(title)), ",").alias("labels"), linking.version_mismatch(F.col("p_name"), title).alias("mismatch"), linking.variant_reason(title).alias("variant"))
+    return spread(_titles(d, spark).select("p_partkey", "p_name", "title")).select("p_partkey", F.array_join(F.array_sort(linking.version_labels(title)), ",").alias("labels"), linking.version_mismatch(F.col("p_name"), title).alias("mismatch"), linking.variant_reason(title).alias("variant"))
 
 
 @query("""WITH p AS (SELECT p_partkey, p_partkey % 8 AS m, CASE WHEN p_partkey % 16 >= 8 THEN -50 ELSE 0 END AS album FROM part)
@@ -160,7 +161,7 @@ CASE event_id % 5 WHEN 0 THEN '여성' WHEN 3 THEN '혼성' END AS voice, CASE e
 def l_clue_extraction(spark, d):
     m = F.col("event_id") % 5
     said = F.when(m == 0, "여자 가수 노래인데 가사에 “너를 사랑해”가 있어").when(m == 1, "발라드 곡, 가사에 너를 사랑해도 되겠니 라는 말이 있었어").when(m == 2, "눈이 내려와라는 가사가 나오는 곡").when(m == 3, "남자 보컬이랑 여자 보컬, 락 음악").otherwise("재즈인지 모르겠고 남자 친구 얘기 '제목'")
-    out = t(spark, d, "events").select("event_id", clues.lyric_clues(said).alias("c"), clues.slot_statements(said).alias("s"))
+    out = spread(t(spark, d, "events").select("event_id", said.alias("said"))).select("event_id", clues.lyric_clues(F.col("said")).alias("c"), clues.slot_statements(F.col("said")).alias("s"))
     return out.select("event_id", F.transform("c", lambda x: F.concat_ws(":", x["kind"], x["confidence"].cast("string"), x["text"])).alias("clues"), "s.voice", "s.genre")
 
 

@@ -178,6 +178,11 @@ def test_corpus_stats_need_no_postings(spark):
     assert found.first().asDict() == {"n_docs": 3, "min_length": 2, "avg_length": 10 / 3, "max_length": 5, "unique_terms": 6, "singleton_terms": 4}
 
 
+@pytest.mark.parametrize("name", ["l_clue_extraction", "t_versions"])
+def test_small_files_of_costly_rows_go_to_all_cores(spark, name):
+    assert catalogue.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def _syllables(rnd: random.Random):
     known = ["".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 3))) for _ in range(12)]
     return lambda n: "".join(rnd.choice(known) for _ in range(n))
